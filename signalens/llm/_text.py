@@ -117,3 +117,34 @@ def words(texts: Sequence[str | None]) -> Iterator[tuple[int, int, np.ndarray, n
             shift = np.repeat(begins[:-1], np.diff(offsets))
             yield i, j, offsets, h, start - shift, end - shift
         i = j
+
+
+_STEP = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
+
+
+def grams(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n word hashes; run i starts at word i."""
+    m = len(h) - n + 1
+    if m <= 0:
+        return np.empty(0, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        out = np.zeros(m, dtype=np.uint64)
+        for i in range(n):
+            out = (out ^ h[i : i + m]) * _STEP[i % len(_STEP)]
+            out ^= out >> np.uint64(29)
+    return mix(out)
+
+
+def gram_sets(texts: Sequence[str | None], n: int) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct hashes of its n-grams of words; of a text of fewer words, that of all of them; of a
+    text without words, none."""
+    for i, j, off, h, _, _ in words(texts):
+        g = grams(h, n)
+        for k in range(j - i):
+            a, b = off[k], off[k + 1]
+            if b - a >= n:
+                yield np.unique(g[a : b - n + 1])
+            elif b > a:
+                yield grams(h[a:b], int(b - a))
+            else:
+                yield g[:0]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signalens.llm import mixing, quality_rules, sharding, url_filters, warc
+from signalens.llm import decontamination, jaccard_join, mixing, quality_rules, sharding, url_filters, warc
 
 #: Sources whose documents are to make up twice, one and a half times and half the share of others.
 WEIGHTS = {"src0": 2.0, "src1": 1.5, "src2": 0.5}
@@ -39,6 +39,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(_table(spark, sf_dir, "documents"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.classify(_table(spark, sf_dir, "pages"), URL_RULES)
 
