@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signalens.llm import decontamination, jaccard_join, mixing, quality_rules, sharding, url_filters, warc
+from signalens.llm import decontamination, jaccard_join, language_id, mixing, quality_classifier, quality_rules, secret_scan, sharding, url_filters, warc
 
 #: Sources whose documents are to make up twice, one and a half times and half the share of others.
 WEIGHTS = {"src0": 2.0, "src1": 1.5, "src2": 0.5}
@@ -35,6 +35,11 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"), WEIGHTS)
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, secret_scan.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
@@ -47,10 +52,20 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(_table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_classifier.classify(docs, quality_classifier.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.classify(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.train(docs))
+
+
 def op9_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.bundle(_table(spark, sf_dir, "pages"))
 
