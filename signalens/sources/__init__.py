@@ -1 +1 @@
-
+"""Scans: paths, rule files, dashboards, expressions, allowlists, catalogs."""

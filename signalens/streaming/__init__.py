@@ -1 +1 @@
-
+"""Continuous validation."""
