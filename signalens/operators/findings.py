@@ -15,12 +15,12 @@ SCHEMA = "code string, severity string, category string, source struct<file:stri
 SEVERITIES = ("error", "warning", "info")
 
 
-def make(df: DataFrame, code: str, category: str, message: Column, *, severity: Column | None = None, file: str | None = "path", group: str | None = None, rule: str | None = None, panel: str | None = None, suggestions: str | None = None, metric=None, label=None, value=None, expr=None, seq: str | None = None) -> DataFrame:
+def make(df: DataFrame, code: str | Column, category: str, message: Column, *, severity: Column | None = None, file: str | None = "path", group: str | None = None, rule: str | None = None, panel: str | None = None, suggestions: str | None = None, metric=None, label=None, value=None, expr=None, seq: str | None = None) -> DataFrame:
     """Findings of one code from the rows of df; arguments that name columns may be left out."""
     s = lambda c: F.coalesce(F.col(c), F.lit("")) if isinstance(c, str) else F.lit("") if c is None else c
     return df.select(
-        F.lit(code).alias("code"),
-        (severity if severity is not None else R.severity_of(F.lit(code))).alias("severity"),
+        (code if isinstance(code, Column) else F.lit(code)).alias("code"),
+        (severity if severity is not None else R.severity_of(code if isinstance(code, Column) else F.lit(code))).alias("severity"),
         F.lit(category).alias("category"),
         F.struct(s(file).alias("file"), F.lit(0).alias("line"), s(group).alias("group"), s(rule).alias("rule"), s(panel).alias("panel")).alias("source"),
         message.alias("message"),

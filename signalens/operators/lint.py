@@ -29,24 +29,6 @@ class Config:
 ZERO = Config(False, (), "", False, False)
 
 
-def empty_exprs(r: DataFrame) -> DataFrame:
-    return r.where(R.stripped(F.col("expr")) == "")
-
-
-def without_severity(r: DataFrame) -> DataFrame:
-    return r.where((F.col("alert") != "") & (R.stripped(F.col("labels")["severity"]) == ""))
-
-
-def without_annotation(r: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """One row for each required key that an alert lacks, as column label."""
-    return r.where("alert <> ''").withColumn("label", F.explode(F.array(*[F.lit(k) for k in keys]))).where(R.stripped(F.try_element_at("annotations", F.col("label"))) == "")
-
-
-def shorter_than_interval(r: DataFrame) -> DataFrame:
-    """Alerts whose duration is less than their group's interval; either missing or no duration: not reported."""
-    return r.where("alert <> ''").withColumn("for_ms", R.duration_ms(F.col("for"))).withColumn("interval_ms", R.duration_ms(F.col("interval"))).where("for_ms < interval_ms")
-
-
 def duplicates(r: DataFrame) -> DataFrame:
     """Every alert after the first of its name, with the place of the first: metric rules before log rules, then in order of file,
     group and rule. Only names are shuffled, and only those that occur twice are sorted."""
@@ -60,16 +42,30 @@ def lint(rules: DataFrame, config: Config = Config()) -> list[DataFrame]:
     if config.is_zero:
         config = Config()
     r = rules.where("rule_pos is not null")
-    at, out = {"group": "group", "rule": "rule"}, []
+    out = [_row_findings(r, config)]
+    if config.duplicate_alerts:
+        out.append(f.make(duplicates(r), f.CODES["duplicate"], "lint", F.concat(F.lit("alert name `"), "alert", F.lit("` is also defined at "), "first_place"), seq="nth", group="group", rule="rule"))
+    return out
+
+
+def _row_findings(r: DataFrame, config: Config) -> DataFrame:
+    """The findings that a rule by itself gives rise to, all in one pass over the rules."""
+    alert, found = F.col("alert") != "", []
+
+    def add(when, code: str, severity: str, message, label=None) -> None:
+        found.append(F.when(when, F.struct(F.lit(f.CODES[code]).alias("code"), F.lit(severity).alias("severity"), message.alias("message"), F.lit(label or "").alias("label"))))
+
     if config.empty_expr:
-        out.append(f.make(empty_exprs(r), f.CODES["empty"], "lint", F.lit("rule expression is empty"), **at))
+        add(R.stripped(F.col("expr")) == "", "empty", "warning", F.lit("rule expression is empty"))
     if config.require_severity:
-        out.append(f.make(without_severity(r), f.CODES["severity"], "lint", F.lit("alert is missing required label `severity`"), **at))
-    if config.require_annotations:
-        out.append(f.make(without_annotation(r, config.require_annotations), f.CODES["annotation"], "lint", F.concat(F.lit("alert is missing required annotation `"), "label", F.lit("`")), label="label", **at))
+        add(alert & (R.stripped(F.col("labels")["severity"]) == ""), "severity", "error", F.lit("alert is missing required label `severity`"))
+    for key in config.require_annotations:
+        add(alert & (R.stripped(F.col("annotations")[key]) == ""), "annotation", "error", F.lit(f"alert is missing required annotation `{key}`"), key)
     if config.for_lt_interval != "off":
+        r = r.withColumn("for_ms", R.duration_ms(F.col("for"))).withColumn("interval_ms", R.duration_ms(F.col("interval")))
         msg = F.concat(F.lit("alert `for` ("), "for", F.lit(") is less than group `interval` ("), R.duration_text(F.col("interval_ms")), F.lit(")"))
-        out.append(f.make(shorter_than_interval(r), f.CODES["for"], "lint", msg, severity=F.lit("error" if config.for_lt_interval == "error" else "warning"), **at))
-    if config.duplicate_alerts:
-        out.append(f.make(duplicates(r), f.CODES["duplicate"], "lint", F.concat(F.lit("alert name `"), "alert", F.lit("` is also defined at "), "first_place"), seq="nth", **at))
-    return out
+        add(alert & (F.col("for_ms") < F.col("interval_ms")), "for", "error" if config.for_lt_interval == "error" else "warning", msg)
+    if not found:
+        return f.none(r.sparkSession)
+    each = r.select("path", "group", "rule", F.explode(F.array_compact(F.array(*found))).alias("x")).select("path", "group", "rule", "x.*")
+    return f.make(each, F.col("code"), "lint", F.col("message"), severity=F.col("severity"), group="group", rule="rule", label="label")
