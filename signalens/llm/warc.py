@@ -96,7 +96,7 @@ class _Writer:
         if self.out is None:
             self.uri = f"{self.folder}/{self.stem}-{self.made:04d}.warc.zst"
             system, path = _open(self.uri)
-            self.out, self.at, self.sizes = system.open_output_stream(path), 0, []
+            self.out, self.at, self.sizes = system.open_output_stream(path, compression=None), 0, []  # else compressed once more, by the name's ending
             self.made += 1
         packed = self.zip.compress(self.plain.getvalue())
         self.out.write(packed)
