@@ -14,6 +14,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from signalens.llm import _io, _text
 
@@ -134,13 +136,10 @@ def find(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int = WINDOW
     """
     sc, least = docs.sparkSession.sparkContext, k + window - 1
     kinds = [docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_id_col].dataType.simpleString()]
-    item_type = None
     d = docs.select(_io.column(docs, id_col).alias("id"), _io.column(docs, text_col).alias("text"))
     names = ["id", "item", "first_char", "end_char", "item_word", "n_words"]
     schema = f"id {kinds[0]}, item {kinds[1]}, first_char long, end_char long, item_word long, n_words long"
     out = docs.sparkSession.createDataFrame([], schema)
-    from pyspark.sql.pandas.types import to_arrow_type
-
     item_type = to_arrow_type(benchmark.schema[item_id_col].dataType)
     for block in _blocks(benchmark, item_id_col, item_text_col, block_bytes, k, window):
         shared = sc.broadcast(block)
@@ -160,7 +159,8 @@ def find(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int = WINDOW
 def remove(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs that share no such span with any item; rows pass through the workers, none is shuffled."""
     sc, least, at = docs.sparkSession.sparkContext, k + window - 1, docs.columns.index(text_col)
-    out = docs
+    plain = T.StructType([T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(docs.schema)])
+    out = docs.toDF(*plain.names)
     for block in _blocks(benchmark, item_id_col, item_text_col, block_bytes, k, window):
         shared = sc.broadcast(block)
 
@@ -172,5 +172,5 @@ def remove(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int = WIND
                     keep[t] = False
                 yield rb.filter(pa.array(keep)) if not keep.all() else rb
 
-        out = out.mapInArrow(part, docs.schema)
-    return out
+        out = out.mapInArrow(part, plain)
+    return out.toDF(*docs.columns)
