@@ -37,9 +37,9 @@ RULES = (
     Rule("words", "words", least=1),
     Rule("word_length", "word_length", least=2, most=14, from_words=20),
     Rule("symbols", "symbols", most=0.08, from_words=4),
-    Rule("capitals", "capitals", most=0.35, from_words=8),
+    Rule("capitals", "capitals", most=0.35, from_words=10),
     Rule("stop_words", "stop_words", least=0.02, from_words=60),
-    Rule("distinct_words", "distinct_words", least=0.1, from_words=30),
+    Rule("distinct_words", "distinct_words", least=0.2, from_words=30),
     Rule("repeated_lines", "repeated_lines", most=0.5, from_words=8),
 )
 
