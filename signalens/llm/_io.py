@@ -1,4 +1,4 @@
-"""Tables that cut lineage, names that cannot clash, and how large a side may be broadcast."""
+"""Tables that cut lineage, columns by their exact names, and how large a side may be broadcast."""
 
 from __future__ import annotations
 
@@ -59,17 +59,6 @@ def table_bytes(df: DataFrame) -> int:
     return total
 
 
-def free_names(df: DataFrame, *names: str) -> list[str]:
-    """Each name, with as many underscores in front as keep it apart from df's columns (in any letter case)."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for n in names:
-        while n.lower() in taken:
-            n = "_" + n
-        taken.add(n.lower())
-        out.append(n)
-    return out
-
-
 def column(df: DataFrame, name: str):
     """The column of exactly this name, whatever characters are in it."""
     return df["`" + name.replace("`", "``") + "`"]
