@@ -474,7 +474,7 @@ UNION ALL SELECT 'E201_STREAM_LABEL_UNKNOWN', 'error', 'catalog', path, '', '',
 UNION ALL SELECT 'E202_STREAM_VALUE_UNKNOWN', 'error', 'catalog', path, '', '', c_name || '/A', 'value "__dashboard_var__" not observed for stream label "app"' FROM panels WHERE c_mktsegment IN ('AUTOMOBILE', 'MACHINERY')""")
 def validate_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule files and dashboards through parsing, linting and catalog checks; findings with their place."""
-    rules, items = _rules(spark, sf_dir), _items(spark, sf_dir)
+    rules, items = _rules(spark, sf_dir).persist(), _items(spark, sf_dir).persist()
     tables = Tables(
         spark.createDataFrame([("part_total",)], "metric string"), spark.createDataFrame([("part_total", "brand")], "metric string, label string"), spark.createDataFrame([("part_total", "brand", "x")], "metric string, label string, value string"),
         spark.createDataFrame([("app",)], "label string"), spark.createDataFrame([("app", "api")], "label string, value string"),
