@@ -6,9 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 INTERVAL, VARIABLE = "5m", "__dashboard_var__"
-INTERVAL_PATTERN = r"\$__(?:rate_interval|range|interval(?:_ms)?)\b"
-VARIABLE_PATTERNS = (r"\[\[\s*([A-Za-z_][A-Za-z0-9_]*)(?::[^\]]*)?\s*\]\]", r"\$\{\s*([A-Za-z_][A-Za-z0-9_]*)(?::[^}]*)?\s*\}", r"\$([A-Za-z_][A-Za-z0-9_]*)")
-RESERVED = ("__interval", "__interval_ms", "__rate_interval", "__range", "__from", "__to", "__name", "__org", "__user")
+_NAME = r"([\p{Alpha}_]\w*)"
+INTERVAL_PATTERN = r"\$__(?:interval_ms|interval|range|rate_interval)\b"
+#: [[name:format]], ${name:format} and $name, in the order in which they are replaced.
+VARIABLE_PATTERNS = (*[start + r"\s*" + _NAME + rf"(?::[^\{end[-1]}]*)?\s*" + end for start, end in ((r"\[\[", r"\]\]"), (r"\$\{", r"\}"))], r"\$" + _NAME)
+RESERVED = tuple("__" + n for n in "from interval interval_ms name org range rate_interval to user".split())
 
 
 def stripped(c: Column) -> Column:

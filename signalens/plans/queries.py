@@ -50,7 +50,7 @@ def cat(*parts) -> Column:
     return F.concat(*[F.col(p[1:-1]).cast("string") if isinstance(p, str) and len(p) > 2 and p[0] == p[-1] == "`" else F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-# --- extraction -------------------------------------------------------------------------------------------------------
+# extraction
 
 
 def _promql(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +139,7 @@ def traceql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _traceql(spark, sf_dir).select("event_id", F.explode("r.functions").alias("function"))
 
 
-# --- rule files and lint ----------------------------------------------------------------------------------------------
+# rule files and lint
 
 #: The table part as rules: a file a brand, a group a type; positions count from 0.
 RULES_SQL = """rules AS (SELECT p_partkey, p_brand || '.yaml' AS path, p_brand, p_type AS grp, p_name AS alert, p_size, p_retailprice,
@@ -223,7 +223,7 @@ def lint_duplicate_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lint(spark, sf_dir, duplicate_alerts=True)
 
 
-# --- dashboards -------------------------------------------------------------------------------------------------------
+# dashboards
 
 #: Customers as panels: a dashboard a nation; all panels are in one row whose source is Prometheus.
 PANELS_SQL = """panels AS (SELECT c_custkey, c_name, c_nationkey, c_mktsegment, c_acctbal, 'nation' || c_nationkey || '.json' AS path, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS panel_pos,
@@ -289,7 +289,7 @@ def dashboard_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "orders").select("o_orderkey", unwrap_variable_query(q).alias("inner_query"))
 
 
-# --- catalog checks ---------------------------------------------------------------------------------------------------
+# catalog checks
 
 
 def _catalog(spark: SparkSession, sf_dir: str) -> Tables:
@@ -390,7 +390,7 @@ def prewarm_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.work_list(m, s, st)
 
 
-# --- findings and reports ---------------------------------------------------------------------------------------------
+# findings and reports
 
 ALL_LINT_SQL = f"""{RULES_SQL}, d AS ({DUPLICATE_SQL}), found AS (
 SELECT 'W402_EMPTY_EXPR' AS code, 'warning' AS severity, 'lint' AS category, path AS file, grp, alert AS rule, 'rule expression is empty' AS message, 0 AS seq FROM rules WHERE p_retailprice < 950

@@ -10,8 +10,8 @@ import threading
 import uuid
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
-RUN_BUCKETS = (0.05, 0.1, 0.25, 0.5, 1, 2.5, 5, 10, 30, 60)
-PREWARM_BUCKETS = (0.01, 0.05, 0.1, 0.25, 0.5, 1, 2.5, 5, 10, 30)
+RUN_BUCKETS = tuple(ms / 1000 for ms in (50, 100, 250, 500, 1000, 2500, 5000, 10_000, 30_000, 60_000))
+PREWARM_BUCKETS = (0.01, *RUN_BUCKETS[:-1])
 SEVERITIES = ("error", "warning", "info")
 
 

@@ -43,10 +43,10 @@ def _dashboard():
     return {
         "title": "t", "uid": "u",
         "panels": [
-            {"type": "row", "datasource": {"type": "Loki"}, "panels": [{"id": 1, "title": "in", "targets": [target(expr='{a="$b"}'), target(expr="", query="")]}, {"id": 2, "targets": [target(expr="up", datasource="Prometheus")]}], "targets": [target(expr="ignored")]},
+            {"type": "row", "datasource": {"type": "Loki"}, "panels": [{"title": "in", "targets": [target(expr='{a="$b"}'), target(expr="", query="")], "id": 1}, {"id": 2, "targets": [target(expr="up", datasource="Prometheus")]}], "targets": [target(expr="ignored")]},
             {"id": 3, "title": "", "datasource": None, "targets": [target(query='rate(m{x="[[y]]"}[$__interval])')], "panels": [{"id": 9, "targets": [target(expr="never")]}]},
         ],
-        "templating": {"list": [{"name": "v", "type": "query", "datasource": "prometheus", "query": {"query": "label_values(up, job)"}}, {"name": "i", "type": "interval", "query": "1m"}, {"name": "e", "query": ""}]},
+        "templating": {"list": [{"query": {"query": "label_values(up, job)"}, "datasource": "prometheus", "type": "query", "name": "v"}, {"query": "1m", "name": "i", "type": "interval"}, {"name": "e", "query": ""}]},
     }
 
 

@@ -94,7 +94,7 @@ def test_validation_commands(spark, tmp_path, server):
     (tmp_path / "l.yaml").write_text("groups: [{name: g, rules: [{record: B, expr: 'rate({app=\"x\"}[5m])'}]}]")
     args = ["--prometheus-rules", str(tmp_path / "r.yaml"), "--loki-rules", str(tmp_path / "l.yaml")]
     assert _run("lint", *args)[0] == 0
-    code, out, _ = _run("validate", *args, "--prometheus-url", url, "--loki-url", url, "--format", "json", "--output", str(tmp_path / "o.json"))
+    code, out, _ = _run("validate", *args, "--prometheus-url", url, "--loki-url", url, f"--output={tmp_path}/o.json", "--format=json")
     doc = json.loads((tmp_path / "o.json").read_text())
     assert code == 2 and out == "" and doc["filesScanned"] == 2
     assert sorted((f["code"][:4], tuple(f.get("suggestions", []))) for f in doc["findings"]) == [("E101", ("up",)), ("E103", ("api",)), ("E202", ("web",))]
