@@ -201,4 +201,4 @@ def shard(docs: DataFrame, target_bytes: int = 32 << 20, *, text_col: str = "tex
         return pd.Series(shards[find_nodes(arrays, x.to_numpy(dtype=float).T)])
 
     out = docs.select(*[_io.column(docs, c).alias(c) for c in docs.columns if c.lower() != shard_col.lower()], find(F.struct(*coords)).alias(shard_col))
-    return out.repartition(max(1, int(tree.shards().max()) + 1), shard_col) if move else out
+    return out.repartitionById(int(tree.shards().max()) + 1, F.col(shard_col).cast("int")) if move else out  # a shard a partition: hashing would put several into one
