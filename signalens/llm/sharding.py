@@ -3,7 +3,7 @@
 A node that holds more than the target bytes is split at the weighted median (weight: bytes of text) of the dimension in
 which it is widest, relative to the whole table. Each level is a few distributed passes over a narrow table of
 coordinates: partitions add up histograms of all open nodes at once, Spark adds those up, and the bin that holds the
-median is refined until it holds one value, so medians are exact. The driver sees histograms and the tree, never rows.
+median is refined until it holds one value, so medians are exact (weights are whole bytes, so sums are). The driver sees one row an open node and the tree.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -126,11 +126,11 @@ def _medians(meta: DataFrame, tree: Tree, todo: dict[int, tuple[int, float, floa
     state = {n: (d, lo, hi, w / 2, lo) for n, (d, lo, hi, w) in todo.items()}
     while state:
         nodes = np.array(sorted(state))
-        spec = tuple(np.array([state[n][j] for n in nodes]) for j in range(3))
+        spec = tuple(np.array([state[n][j] for n in nodes]) for j in range(4))
         shared = meta.sparkSession.sparkContext.broadcast((tree.arrays(), nodes, spec))
 
         def part(batches):
-            arrays, nodes, (dims, lo, hi) = shared.value
+            arrays, nodes, (dims, lo, hi, need) = shared.value
             size = len(nodes) * BINS
             w, least, most = np.zeros(size), np.full(size, np.inf), np.full(size, -np.inf)
             for b in batches:
@@ -148,19 +148,18 @@ def _medians(meta: DataFrame, tree: Tree, todo: dict[int, tuple[int, float, floa
                 np.minimum.at(least, cell, v)
                 np.maximum.at(most, cell, v)
             has = np.flatnonzero(w > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[has // BINS]), pa.array(has % BINS), pa.array(w[has]), pa.array(least[has]), pa.array(most[has])], names=["node", "bin", "w", "least", "most"])
-
-        rows = meta.mapInArrow(part, "node long, bin long, w double, least double, most double").groupBy("node", "bin").agg(F.sum("w").alias("w"), F.min("least").alias("least"), F.max("most").alias("most")).toPandas().sort_values(["node", "bin"])
-        for n, g in rows.groupby("node"):
-            d, _, _, need, below = state.pop(n)
-            cum = g.w.to_numpy().cumsum()
-            j = min(int(np.searchsorted(cum, need)), len(cum) - 1)
-            least, most = g.least.iloc[j], g.most.iloc[j]
-            below = g.most.iloc[j - 1] if j else below
-            if least < most:
-                state[n] = (d, least, most, need - (cum[j - 1] if j else 0.0), below)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[has // BINS]), pa.array(has % BINS), pa.array(need[has // BINS]), pa.array(w[has]), pa.array(least[has]), pa.array(most[has])], names=["node", "bin", "need", "w", "least", "most"])
+
+        bins = meta.mapInArrow(part, "node long, bin long, need double, w double, least double, most double").groupBy("node", "bin", "need").agg(F.sum("w").alias("w"), F.min("least").alias("least"), F.max("most").alias("most"))
+        by = Window.partitionBy("node").orderBy("bin")
+        cum = bins.withColumn("cum", F.sum("w").over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("below", F.lag("most").over(by))
+        for r in cum.where("cum >= need and cum - w < need").select("node", "least", "most", "below", (F.col("cum") - F.col("w")).alias("before")).collect():
+            d, _, _, need, below = state.pop(r.node)
+            below = below if r.below is None else r.below
+            if r.least < r.most:
+                state[r.node] = (d, r.least, r.most, need - r.before, below)
             else:
-                found[n] = least if least < todo[n][2] else below
+                found[r.node] = r.least if r.least < todo[r.node][2] else below
     return found
 
 
