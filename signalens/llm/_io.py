@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,7 +19,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; one of our own only where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="signalens-")
+        folder = tempfile.mkdtemp(prefix="signalens-")
+        atexit.register(shutil.rmtree, folder, True)
+        root = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/signalens-{spark.sparkContext.applicationId}"
     if path not in _made:
