@@ -21,7 +21,7 @@ from signalens.llm import _io
 
 URL = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)(?::[0-9]*)?([^#]*)"
 LAST = "\U0010ffff"
-#: Keys that are drawn to place the cuts between ranges. They decide how even ranges are, never what matches.
+#: About how many keys are drawn to place the cuts between ranges. They decide how even ranges are, never what matches.
 CUT_SAMPLE = 20_000
 
 
@@ -55,7 +55,8 @@ def classify(pages: DataFrame, rules: list[tuple[str | None, str | None]], *, id
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = pages.schema[id_col].dataType.simpleString()
     p = pages.select(_io.column(pages, id_col).alias("id"), _io.column(pages, url_col).alias("url")).withColumn("key", url_key(F.col("url")))
-    drawn = sorted(r[0] for r in p.where("key is not null").select("key", F.xxhash64("key").alias("h")).orderBy("h").limit(CUT_SAMPLE).select("key").collect()) if n > 1 else []
+    share = min(1.0, CUT_SAMPLE / max(1, p.count()))
+    drawn = sorted(r[0] for r in p.where("key is not null").where(F.pmod(F.xxhash64("key", "id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("key").collect()) if n > 1 else []
     cuts = sorted({drawn[len(drawn) * i // n] for i in range(1, n)}) if drawn else []
     shared = spark.sparkContext.broadcast(cuts)
 
