@@ -9,7 +9,8 @@ segments without n-grams are left out. The sketch folded to 256 bits has a Hammi
 difference of the samples from below, which drops most chance candidates before the rest is verified on the whole sets.
 
 Equal sets are one set from the start, so thousands of copies cost as much as one. Segments that very many sets share
-(licence lines and the like) make no candidates, unless most segments of a set are such: then they all do.
+(licence lines and the like) are not joined: the sets that have such segments meet in the rarest of their sampled n-grams,
+as many of them as must hold one that a partner has.
 """
 
 from __future__ import annotations
@@ -112,13 +113,70 @@ def _sets(rows: DataFrame) -> DataFrame:
     return rows.groupBy("sid").agg(F.collect_list(F.struct("id", "th")).alias("members"), first, *[F.first(c).alias(c) for c in ("size", "band", "own", "low", "f_own", "f_low")])
 
 
-def _candidates(sets: DataFrame, t: float) -> DataFrame:
+def _texts(docs: DataFrame, need: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """need (a written table with the columns id and th of rows of docs) with the texts; rows that are repeated in docs are so here."""
+    small = F.broadcast(need) if _io.table_bytes(need) <= _io.BROADCAST_BYTES else need
+    d = docs.select(_io.column(docs, id_col).alias("id"), F.xxhash64(_io.column(docs, text_col)).alias("th"), _io.column(docs, text_col).alias("text")).alias("d")
+    return d.join(small.alias("w"), (F.col("d.th") == F.col("w.th")) & F.col("d.id").eqNullSafe(F.col("w.id"))).select(*[f"w.{c}" for c in need.columns if c not in ("id", "th")], "text")
+
+
+def reach(k: int, t: float, whole: bool) -> int:
+    """Of k sampled n-grams so many, the first of any order that all sets share, hold one that a set of J >= t shares: at most
+    a share of 1-t isn't shared, to which a sample adds four standard deviations."""
+    return min(k, math.floor((1 - t) * k + (0.0 if whole else 4 * math.sqrt(k * t * (1 - t))) + 1e-9) + 1)
+
+
+def _by_grams(docs: DataFrame, sets: DataFrame, hot: DataFrame, n: int, t: float, id_col: str, text_col: str) -> DataFrame:
+    """(key, a, b): pairs of sets in a level of whose segments both have common ones, by their sampled n-grams.
+
+    n-grams are ordered by the number of sets that have them, and sets meet in the first of theirs only (prefix filter), if
+    what is left of both from there on is enough. So lines that most sets share make pairs of sets only that consist of them.
+    hot: (sid, down) of the sets; down is 1 for the level of the band below.
+    """
+    levels = hot.groupBy("sid").agg(F.max(F.col("down") == 0).alias("own"), F.max(F.col("down") == 1).alias("low"))
+    need = _io.written(levels.join(sets.select("sid", "rep.id", "rep.th"), "sid"), "common")
+
+    def part(batches):
+        for rb in batches:
+            sid, down, whole, size, first, keys = [], [], [], [], [], []
+            wanted = list(zip(*[rb.column(c).to_pylist() for c in range(3)], strict=True))
+            for (x, own, low), u in zip(wanted, _text.gram_sets(rb.column(3).to_pylist(), n), strict=True):
+                b = band_of(len(u), t)
+                for d in [d for d, has in enumerate((own, low)) if has and b >= d]:
+                    _, share, below = level(b - d, t)
+                    s = u[: np.searchsorted(u, np.uint64(below), "right")]
+                    sid.append(x)
+                    down.append(d)
+                    whole.append(share == 1.0)
+                    size.append(len(s))
+                    first.append(reach(len(s), t, share == 1.0))
+                    with np.errstate(over="ignore"):
+                        keys.append(_text.mix(s + np.uint64(b - d + 1) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(down, pa.int32()), pa.array(whole, pa.bool_()), pa.array(size, pa.int32()), pa.array(first, pa.int32()), lists], names=["sid", "down", "whole", "k", "reach", "keys"])
+
+    rows = _texts(docs, need, id_col, text_col).select("sid", "own", "low", "text").mapInArrow(part, "sid long, down int, whole boolean, k int, reach int, keys array<long>")
+    grams = rows.dropDuplicates(["sid", "down"]).select("sid", "down", "whole", "k", "reach", F.explode("keys").alias("key"))
+    shared = grams.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    by = Window.partitionBy("sid", "down")
+    place = F.col("k") - F.count("*").over(by) + F.row_number().over(by.orderBy("n", "key"))
+    used = _io.written(shared.withColumn("place", place).where("place <= reach").select("key", "sid", "down", "whole", (F.col("k") - F.col("place") + 1).alias("rest"), "k"), "grams")
+    x, y = used.alias("x"), used.alias("y")
+    k = F.col("x.k") + F.col("y.k")
+    least = F.lit(t / (1 + t)) * k - F.when(F.col("x.whole"), 1e-6).otherwise(4 * F.sqrt(k * (t * (1 - t) / (1 + t))) / (1 + t))
+    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.down") + F.col("y.down") < 2) & (F.least("x.rest", "y.rest") >= least)
+    return x.join(y, meet).select("x.key", F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
+
+
+def _candidates(docs: DataFrame, sets: DataFrame, n: int, t: float, id_col: str, text_col: str) -> DataFrame:
     """(a, b, key): pairs of sets that share a segment and pass the size and Hamming tests; key is the least that they share."""
-    keys = sets.select("sid", (F.size("own") + F.size("low")).alias("n_keys"), F.explode(F.concat("own", "low")).alias("key"))
+    keys = sets.select("sid", F.size("own").alias("n_own"), F.posexplode(F.concat("own", "low")).alias("at", "key")).select("sid", (F.col("at") >= F.col("n_own")).cast("int").alias("down"), "key")
     seen = _io.written(keys.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"), "segments")
-    full = seen.where(F.col("n") > COMMON).groupBy("sid").agg(F.count("*").alias("common"), F.first("n_keys").alias("n_keys")).where("2 * common > n_keys").select("sid")
-    used = seen.where(F.col("n") <= COMMON).select("key", "sid").unionByName(seen.where(F.col("n") > COMMON).join(full, "sid", "left_semi").select("key", "sid"))
-    pairs = used.select("key", F.col("sid").alias("a")).join(used.select("key", F.col("sid").alias("b")), "key").where("a < b").groupBy("a", "b").agg(F.min("key").alias("key"))
+    used, hot = seen.where(F.col("n") <= COMMON).select("key", "sid"), seen.where(F.col("n") > COMMON)
+    pairs = used.select("key", F.col("sid").alias("a")).join(used.select("key", F.col("sid").alias("b")), "key").where("a < b")
+    if not hot.isEmpty():
+        pairs = pairs.unionByName(_by_grams(docs, sets, hot, n, t, id_col, text_col))
+    pairs = pairs.groupBy("a", "b").agg(F.min("key").alias("key"))
     cols = ("size", "band", "f_own", "f_low")
     side = lambda x: sets.select(F.col("sid").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in cols])
     both = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -137,9 +195,7 @@ def _verified(docs: DataFrame, sets: DataFrame, cand: DataFrame, n: int, t: floa
     """(a, b, jaccard) of the candidates whose whole sets have J >= t. Sets meet where they share a key, once a key."""
     at = cand.select(F.col("key").alias("meet"), F.col("a").alias("sid")).unionByName(cand.select(F.col("key").alias("meet"), F.col("b").alias("sid"))).distinct()
     need = _io.written(at.select("sid").distinct().join(sets.select("sid", "rep.id", "rep.th"), "sid"), "wanted")
-    small = F.broadcast(need) if _io.table_bytes(need) <= _io.BROADCAST_BYTES else need
-    d = docs.select(_io.column(docs, id_col).alias("id"), F.xxhash64(_io.column(docs, text_col)).alias("th"), _io.column(docs, text_col).alias("text")).alias("d")
-    some = d.join(small.alias("w"), (F.col("d.th") == F.col("w.th")) & F.col("d.id").eqNullSafe(F.col("w.id"))).select("sid", "text")
+    some = _texts(docs, need, id_col, text_col).select("sid", "text")
 
     def part(batches):
         for rb in batches:
@@ -172,7 +228,7 @@ def _verified(docs: DataFrame, sets: DataFrame, cand: DataFrame, n: int, t: floa
 def _join(docs: DataFrame, n: int, t: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(sets, pairs of sets), both written."""
     sets = _io.written(_sets(_rows(docs, n, t, id_col, text_col)), "sets")
-    cand = _io.written(_candidates(sets, t), "candidates")
+    cand = _io.written(_candidates(docs, sets, n, t, id_col, text_col), "candidates")
     return sets, _io.written(_verified(docs, sets, cand, n, t, id_col, text_col), "pairs")
 
 

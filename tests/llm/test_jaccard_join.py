@@ -99,3 +99,31 @@ def test_awkward_rows(spark):
     assert J.join(empty(spark)).count() == J.deduplicate(empty(spark)).count() == 0
     same = spark.createDataFrame([(None, prose(1)), (None, prose(1)), (4, prose(1)), (None, long_text()), (None, long_text())], "doc_id long, text string")
     assert sorted((r.doc_id or 0) for r in J.deduplicate(same).collect()) == [0, 4] and J.join(same).count() == 0
+
+
+def _edited(r, words, share):
+    return " ".join(f"x{r.randrange(10**6)}" if r.random() < share else w for w in words)
+
+
+@pytest.mark.parametrize("edge", [60, 101, 170, 285])
+def test_large_groups_across_a_band_edge(spark, edge):
+    """Hundreds of distinct copies just above the edge of a band, few just below it."""
+    r, docs = random.Random(edge), []
+    base = [f"w{i}" for i in range(edge + 12)]
+    line = " licensed under the apache license version two of january"
+    for size, copies in ((edge + 4, 300), (edge + 1, 5), (edge, 3)):
+        docs += [(len(docs) + i, _edited(r, base[:size], 0.01)) for i in range(copies)]
+    docs += [(len(docs) + i, " ".join(f"o{r.randrange(10**6)}" for _ in range(edge // 2)) + line) for i in range(150)]
+    want, got = truth(docs), pairs(J.join(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert set(got) <= set(want) and len(set(got)) >= 0.995 * len(want) > 2000
+    low = [p for p in want if p[0] < 300 <= p[1] < 308]
+    assert len(low) > 2000 and sum(p in got for p in low) >= 0.995 * len(low)
+
+
+@pytest.mark.parametrize("size", [50, 90, 160, 400])
+def test_large_groups_with_many_edits(spark, size):
+    """Over 64 copies with 3 to 10 % of their words replaced: many pairs are near the threshold."""
+    r, base = random.Random(size), [f"w{i}" for i in range(size)]
+    docs = [(i, _edited(r, base, r.choice([0.03, 0.05, 0.07, 0.1]))) for i in range(140)] + [(140, " ".join(base))]
+    want, got = truth(docs), pairs(J.join(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert set(got) <= set(want) and len(set(got)) >= 0.99 * len(want) > 400
