@@ -1,8 +1,9 @@
 """Secret scans: two character Markov models, one of random strings and one of ordinary identifiers.
 
 Candidates are runs of characters that tokens are made of. Each character adds the logarithm of how much likelier it is,
-after the two before it, in a random string than in an ordinary identifier; the stretch of a run with the greatest sum is
-reported if it is long enough and its sum exceeds the threshold, which is set on labelled samples as well.
+after the two before it, in a random string than in an ordinary identifier; all disjoint stretches of a run that are long
+enough and whose sums exceed the threshold, which is set on labelled samples as well, are reported, the greatest first
+sought and then what is left and right of it.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from signalens.llm import _io
 
 MIN_LENGTH = 16
+#: Strings of both cases are told apart at a joining character if they are this long.
+JOINED = 20
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_LENGTH)
 ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 #: Labelled documents from which ordinary identifiers are taken.
@@ -111,23 +114,93 @@ def fit(secrets: list[str], ordinary: list[str]) -> Model:
     return Model(ratio.astype(np.float32), float(max(12.0, top[len(top) // 1000] if top else 0.0)))
 
 
-def best(ratio: np.ndarray, run: str) -> tuple[int, int, float]:
-    """(start, end, sum) of the stretch of at least MIN_LENGTH characters with the greatest sum, of equal ones the first, widened
-    to whole groups of letters and digits."""
+def _sums(ratio: np.ndarray, run: str) -> np.ndarray:
     x = np.concatenate([[_START, _START], _codes(run)])
-    total = np.concatenate([[0.0], np.cumsum(ratio[x[:-2], x[1:-1], x[2:]], dtype=np.float64)])
-    m = len(total) - MIN_LENGTH
+    return np.concatenate([[0.0], np.cumsum(ratio[x[:-2], x[1:-1], x[2:]], dtype=np.float64)])
+
+
+def _greatest(total: np.ndarray, lo: int, hi: int) -> tuple[int, int, float]:
+    """(start, end, sum) of the stretch within lo:hi, of MIN_LENGTH characters at least, with the greatest sum."""
+    m = hi - lo + 1 - MIN_LENGTH
     if m <= 0:
-        return 0, 0, float("-inf")
-    low = np.minimum.accumulate(total[:m])
-    gain = total[MIN_LENGTH:] - low
+        return lo, lo, float("-inf")
+    part = total[lo : hi + 1]
+    low = np.minimum.accumulate(part[:m])
+    gain = part[MIN_LENGTH:] - low
     e = int(gain.argmax())
-    start, end = int(np.flatnonzero(total[: e + 1] == low[e])[0]), e + MIN_LENGTH
-    while start and run[start - 1].isalnum():
+    return lo + int(np.flatnonzero(part[: e + 1] == low[e])[0]), lo + e + MIN_LENGTH, float(gain[e])
+
+
+def _widened(total: np.ndarray, run: str, start: int, end: int, lo: int, hi: int) -> tuple[int, int]:
+    """A stretch widened within lo:hi to whole groups of letters and digits, or cut back where the whole first or last group is
+    ordinary."""
+    while start > lo and run[start - 1].isalnum():
         start -= 1
-    while end < len(run) and run[end].isalnum():
+    while end < hi and run[end].isalnum():
         end += 1
-    return start, end, float(gain[e])
+    first = next((i for i in range(start, end) if not run[i].isalnum()), end)
+    if end - first > MIN_LENGTH and total[first + 1] < total[start]:
+        start = first + 1
+    last = next((i for i in range(end - 1, start, -1) if not run[i].isalnum()), start)
+    if last - start >= MIN_LENGTH and total[end] < total[last]:
+        end = last
+    return start, end
+
+
+def best(ratio: np.ndarray, run: str) -> tuple[int, int, float]:
+    """(start, end, sum) of the stretch of at least MIN_LENGTH characters with the greatest sum, of equal ones the first, widened
+    to whole groups of letters and digits."""
+    total = _sums(ratio, run)
+    start, end, s = _greatest(total, 0, len(run))
+    return (*_widened(total, run, start, end, 0, len(run)), s) if s > float("-inf") else (0, 0, s)
+
+
+def _pieces(total: np.ndarray, threshold: float, run: str) -> list[tuple[int, int]]:
+    """The run cut where no secret goes on: at "=", which is padding at most, and at a "+", "/", "-" or "_" between two secrets
+    that have none of its kind in them: keys of one case, or of JOINED characters at least. Shorter ones of both cases
+    may be one Base64 string, and stay together."""
+    out = []
+    for m in re.finditer(r"[^=]+", run):
+        cuts = set()
+        for kind in ("[+/]", "[-_]"):
+            at = [m.start() - 1, *[x.start() + m.start() for x in re.finditer(kind, m.group())], m.end()]
+            parts = [(a + 1, b) for a, b in zip(at[:-1], at[1:], strict=True)]
+            long = [b - a >= MIN_LENGTH and (b - a >= JOINED or run[a:b] in (run[a:b].lower(), run[a:b].upper())) and _greatest(total, a, b)[2] > threshold for a, b in parts]
+            cuts |= {at[i] for i in range(1, len(parts)) if long[i - 1] and long[i]}
+        edges = [m.start() - 1, *sorted(cuts), m.end()]
+        out += [(a + 1, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return out
+
+
+def _lull(total: np.ndarray, start: int, end: int) -> tuple[int, int, float]:
+    """(start, end, sum) of the stretch within start:end with the least sum."""
+    part = total[start : end + 1]
+    fall = part - np.maximum.accumulate(part)
+    e = int(fall.argmin())
+    return start + int(part[: e + 1].argmax()), start + e, float(fall[e])
+
+
+def stretches(ratio: np.ndarray, threshold: float, run: str) -> list[tuple[int, int, float]]:
+    """(start, end, sum) of every secret of a run, in order. A stretch is two if what lies within it is as surely ordinary
+    (a sum below -threshold) as what lies on either side of that is not."""
+    total, out = _sums(ratio, run), []
+    if _greatest(total, 0, len(run))[2] <= threshold:
+        return out
+    todo = _pieces(total, threshold, run)
+    while todo:
+        lo, hi = todo.pop()
+        start, end, s = _greatest(total, lo, hi)
+        if s <= threshold:
+            continue
+        a, b, fall = _lull(total, start, end)
+        if fall < -threshold and _greatest(total, start, a)[2] > threshold and _greatest(total, b, end)[2] > threshold:
+            middle = next((i for i in range(a, b) if not run[i].isalnum()), a)
+            todo += [(lo, middle), (middle, hi)]
+            continue
+        start, end = _widened(total, run, start, end, lo, hi)
+        out.append((start, end, s))
+        todo += [(lo, start), (end, hi)]
+    return sorted(out)
 
 
 def train(docs: DataFrame | None = None, labels: DataFrame | None = None, rows: int = SAMPLE_ROWS, seed: int = 5, *, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality") -> Model:
@@ -154,14 +227,14 @@ def scan(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str
             at, start, end, secret, score = [], [], [], [], []
             for i, t in enumerate(rb.column(1).to_pylist()):
                 for run in RUN.finditer(t or ""):
-                    a, b, s = best(m.ratio, run.group())
-                    found = run.group()[a:b]
-                    if s > m.threshold and not found.isdigit():
-                        at.append(i)
-                        start.append(run.start() + a)
-                        end.append(run.start() + b)
-                        secret.append(found)
-                        score.append(s)
+                    for a, b, s in stretches(m.ratio, m.threshold, run.group()):
+                        found = run.group()[a:b]
+                        if not found.isdigit():
+                            at.append(i)
+                            start.append(run.start() + a)
+                            end.append(run.start() + b)
+                            secret.append(found)
+                            score.append(s)
             if at:
                 yield pa.RecordBatch.from_arrays([rb.column(0).take(pa.array(at)), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(secret), pa.array(score)], names=["id", "first_char", "end_char", "secret", "score"])
 

@@ -44,6 +44,27 @@ def test_best_stretch(model):
         assert abs(S.best(model.ratio, run)[2] - brute_best(model.ratio, run)) < 1e-3
 
 
+def test_several_secrets_in_one_run(model):
+    r = random.Random(6)
+    hexes = ["".join(r.choice("0123456789abcdef") for _ in range(40)) for _ in range(3)]
+    mixed = ["".join(r.choice(S.string.ascii_letters + S.string.digits) for _ in range(32)) for _ in range(3)]
+    found = lambda run: [run[a:b] for a, b, _ in S.stretches(model.ratio, model.threshold, run)]
+    for keys in (hexes, mixed, [hexes[0], mixed[1], hexes[2]]):
+        for join in ("/", "=", "-", "_", "/user_profile_settings_handler/", "-internationalization_of_user_interfaces-"):
+            for n in (1, 2, 3):
+                assert found(join.join(keys[:n])) == keys[:n], (join, n)
+        assert found(f"first_key={keys[0]}-second_key={keys[1]}/third_key={keys[2]}") == keys
+        assert found(f"https/example/{keys[0]}/download_report_for_every_customer_in_the_region/{keys[1]}") == keys[:2]
+    assert found("internationalization_of_user_interfaces/" * 5) == found("short") == []
+
+
+def test_single_secrets_stay_whole(model):
+    secret = [s for s in S.random_strings(1500, 77) if S.best(model.ratio, s)[2] > model.threshold]
+    assert np.mean([len(S.stretches(model.ratio, model.threshold, s)) == 1 for s in secret]) > 0.97
+    key = "wJalrXUtnFEMI/K7MDENGbPxRfiCYzQ8vLs2hTq0"
+    assert [key[a:b] for a, b, _ in S.stretches(model.ratio, model.threshold, key)] == [key]
+
+
 def test_languages(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     train, rest = d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1 and length(text) > 30")
