@@ -1,7 +1,7 @@
 """Language identification by bit-sliced Bloom filters of n-grams.
 
 A text is lower-cased, all but letters become single spaces, and its character n-grams are looked up. One table holds the
-filters of all languages: bit l of a slot is slot's bit in the filter of language l, so ANDing the slots of an n-gram's
+filters of all languages, 64 in a word: bit l of a slot is slot's bit in the filter of language l, so ANDing the slots of an n-gram's
 hashes gives at once the mask of languages that have it. Per language the n-grams are counted, the expected number of
 false positives is taken off, and the largest corrected count decides.
 """
@@ -85,14 +85,15 @@ def _chunks(texts: list[str | None]):
 @dataclass
 class Filters:
     languages: list[str]
-    slots: np.ndarray
+    slots: np.ndarray  # a row for each 64 languages
     false_rate: np.ndarray
 
-    def masks(self, h: np.ndarray) -> np.ndarray:
-        """Of each n-gram the languages that may have it, as bits."""
-        out = self.slots[(h & np.uint64(len(self.slots) - 1)).astype(np.int64)]
+    def masks(self, h: np.ndarray, word: int = 0) -> np.ndarray:
+        """Of each n-gram those of the 64 languages from 64 * word on that may have it, as bits."""
+        slots = self.slots[word]
+        out = slots[(h & np.uint64(len(slots) - 1)).astype(np.int64)]
         for k in range(1, HASHES):
-            out = out & self.slots[((h >> np.uint64(SLOTS_LOG2 * k)) & np.uint64(len(self.slots) - 1)).astype(np.int64)]
+            out = out & slots[((h >> np.uint64(SLOTS_LOG2 * k)) & np.uint64(len(slots) - 1)).astype(np.int64)]
         return out
 
     def counts(self, texts: list[str | None], n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -100,28 +101,27 @@ class Filters:
         total, got = np.zeros(len(texts)), np.zeros((len(texts), len(self.languages)))
         for at, part in _chunks(texts):
             h, off = ngrams(part, n)
-            m = self.masks(h)
             np.add.at(total, at, np.diff(off))
             for j in range(len(self.languages)):
-                c = np.concatenate([[0], np.cumsum((m >> self.slots.dtype.type(j)) & self.slots.dtype.type(1), dtype=np.int64)])
+                if j % 64 == 0:
+                    m = self.masks(h, j // 64)
+                c = np.concatenate([[0], np.cumsum((m >> self.slots.dtype.type(j % 64)) & self.slots.dtype.type(1), dtype=np.int64)])
                 np.add.at(got[:, j], at, c[off[1:]] - c[off[:-1]])
         return total, (got - total[:, None] * self.false_rate) / (1 - self.false_rate)
 
 
 def build(samples: dict[str, list[str]], n: int = N, per_language: int = PER_LANGUAGE) -> Filters:
-    """Filters from labelled texts; at most 64 languages."""
+    """Filters from labelled texts, of any number of languages."""
     languages = sorted(samples)
-    if len(languages) > 64:
-        raise ValueError("a mask has room for 64 languages")
     kind = np.uint8 if len(languages) <= 8 else np.uint64
-    slots = np.zeros(1 << SLOTS_LOG2, dtype=kind)
+    slots = np.zeros((max(1, -(-len(languages) // 64)), 1 << SLOTS_LOG2), dtype=kind)
     for j, name in enumerate(languages):
         h = np.concatenate([ngrams(part, n)[0] for _, part in _chunks(samples[name])] or [np.empty(0, np.uint64)])
         u, c = np.unique(h, return_counts=True)
         top = u[np.lexsort((u, -c))[:per_language]]
         for k in range(HASHES):
-            slots[((top >> np.uint64(SLOTS_LOG2 * k)) & np.uint64(len(slots) - 1)).astype(np.int64)] |= kind(1 << j)
-    fill = np.array([((slots >> kind(j)) & kind(1)).mean() for j in range(len(languages))])
+            slots[j // 64, ((top >> np.uint64(SLOTS_LOG2 * k)) & np.uint64(slots.shape[1] - 1)).astype(np.int64)] |= kind(1 << j % 64)
+    fill = np.array([((slots[j // 64] >> kind(j % 64)) & kind(1)).mean() for j in range(len(languages))])
     return Filters(languages, slots, np.minimum(fill**HASHES, 0.999))
 
 

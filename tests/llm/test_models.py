@@ -88,6 +88,16 @@ def test_filters_have_no_false_negatives():
     assert total.tolist() == brute and total[2] == total[3] == 0
 
 
+@pytest.mark.parametrize("n", [64, 65, 130])
+def test_more_languages_than_a_word_has_bits(n):
+    r = random.Random(n)
+    letters = ["".join(r.sample("abcdefghijklmnopqrstuvwxyzäöüßéèñçøåšžþð", 6)) + " " for _ in range(n)]
+    text = lambda i: "".join(r.choice(letters[i]) for _ in range(2000))
+    f = L.build({f"l{i:03d}": [text(i)] for i in range(n)})
+    _, got = f.counts([text(i) for i in range(n)])
+    assert f.languages == [f"l{i:03d}" for i in range(n)] and (got.argmax(axis=1) == np.arange(n)).all()
+
+
 def test_language_of_awkward_rows(spark):
     f = L.train(messy(spark))
     got = L.identify(messy(spark), f).collect()
