@@ -8,17 +8,21 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side of a join is broadcast only if its table is at most this large; beyond it the join shuffles.
-BROADCAST_BYTES = 64 << 20
+#: A side of a join is broadcast only if its rows, decoded, take at most this much; beyond it the join shuffles.
+BROADCAST_BYTES = 32 << 20
 
 _made: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder of ``spark.checkpoint.dir``; one of our own only where that is unset and all tasks run on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: it must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="signalens-")
         atexit.register(shutil.rmtree, folder, True)
         root = "file://" + folder
@@ -53,13 +57,26 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def table_bytes(df: DataFrame) -> int:
-    """Bytes of the files that a table made by written() reads."""
-    spark, total = df.sparkSession, 0
-    for f in df.inputFiles():
-        p, fs = _path(spark, f)
-        total += fs.getFileStatus(p).getLen()
-    return total
+def drop(df: DataFrame) -> None:
+    """Deletes a table made by written(), once nothing reads it any more."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        p, fs = _path(spark, folder)
+        fs.delete(p, True)
+
+
+def is_small(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    """Whether a table made by written() may be broadcast: its rows are counted and, where their width is not fixed, their bytes
+    added up."""
+    width, varying = 16, []
+    for f in df.schema:
+        if isinstance(f.dataType, T.NumericType | T.BooleanType | T.DatetimeType):
+            width += 8
+        else:
+            varying.append(F.octet_length(F.to_json(F.struct(column(df, f.name)))))
+    more = sum(varying, F.lit(0)) if varying else F.lit(0)
+    n, size = df.select(F.count("*"), F.coalesce(F.sum(more), F.lit(0))).first()
+    return n * width + size <= most
 
 
 def column(df: DataFrame, name: str):

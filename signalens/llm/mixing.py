@@ -46,7 +46,7 @@ def mix(docs: DataFrame, weights: dict[str, float], default_weight: float = 1.0,
     no tokens and follow the rate of their source. An empty table gives an empty table.
     """
     rates = _io.written(source_rates(docs, weights, default_weight, target_tokens, source_col=source_col, text_col=text_col), "rates").select(F.col("source").alias("_s"), F.col("rate").alias("_r"))
-    if _io.table_bytes(rates) <= broadcast_bytes:
+    if _io.is_small(rates, broadcast_bytes):
         rates = F.broadcast(rates)
     key = F.coalesce(_io.column(docs, id_col).cast("string"), F.md5(F.coalesce(_io.column(docs, text_col), F.lit(""))))
     kept = [c for c in docs.columns if copy_col is None or c.lower() != copy_col.lower()]
