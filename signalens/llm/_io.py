@@ -79,6 +79,11 @@ def is_small(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
     return n * width + size <= most
 
 
+def hinted(df: DataFrame) -> DataFrame:
+    """A table made by written(), or columns made from one, to be broadcast in a join if it is small."""
+    return F.broadcast(df) if is_small(df) else df
+
+
 def column(df: DataFrame, name: str):
     """The column of exactly this name, whatever characters are in it."""
     return df["`" + name.replace("`", "``") + "`"]

@@ -38,7 +38,7 @@ SAMPLE, LEAST_SEGMENTS = 64, 16
 COMMON = 64
 FOLD = 256
 #: How often leaders are sought for the sets that have none yet. It decides how far groups shrink, not what is found.
-ROUNDS = 2
+ROUNDS = 1
 #: Sets that meet in a task at once.
 BLOCK = 256
 
@@ -134,7 +134,7 @@ def _sets(rows: DataFrame) -> DataFrame:
 
 def _texts(docs: DataFrame, need: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """need (a written table with the columns id and th of rows of docs) with the texts; rows that are repeated in docs are so here."""
-    small = F.broadcast(need) if _io.is_small(need) else need
+    small = _io.hinted(need)
     d = docs.select(_io.column(docs, id_col).alias("id"), F.xxhash64(_io.column(docs, text_col)).alias("th"), _io.column(docs, text_col).alias("text")).alias("d")
     return d.join(small.alias("w"), (F.col("d.th") == F.col("w.th")) & F.col("d.id").eqNullSafe(F.col("w.id"))).select(*[f"w.{c}" for c in need.columns if c not in ("id", "th")], "text")
 
@@ -164,7 +164,7 @@ def _jaccards(docs: DataFrame, sets: DataFrame, pairs: DataFrame, n: int, id_col
     """(a, b, jaccard) of the pairs of sets whose whole sets have J >= least. pairs: a written table (a, b, meet, least); pairs of one
     ``meet`` are compared in one task, to which each of their sets is sent once."""
     at = pairs.select("meet", F.col("a").alias("sid")).unionByName(pairs.select("meet", F.col("b").alias("sid"))).distinct()
-    at = _io.written(at, "meetings")
+    at = _io.written(at, "meetings")  # small beside the n-grams, which are then shuffled once
     tasks = max(1, at.count() // BLOCK)
     bucket = F.pmod(F.xxhash64("meet"), F.lit(tasks)).alias("bucket")
     whole = _grams(docs, sets, at, n, id_col, text_col)
@@ -184,7 +184,7 @@ def _jaccards(docs: DataFrame, sets: DataFrame, pairs: DataFrame, n: int, id_col
                 j.append(r)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "jaccard": pa.array(j, pa.float64())})
 
-    members = at.select(bucket, "sid").distinct().join(whole, "sid")
+    members = whole.join(_io.hinted(at).select(bucket, "sid").distinct(), "sid")
     return pairs.select(bucket, "a", "b", "least").groupBy("bucket").cogroup(members.groupBy("bucket")).applyInArrow(compare, "a long, b long, jaccard double")
 
 
@@ -215,7 +215,7 @@ def _shared(sets: DataFrame) -> DataFrame:
 
 def _homes(docs: DataFrame, sets: DataFrame, shared: DataFrame, n: int, t: float, id_col: str, text_col: str) -> DataFrame:
     """(sid, home, d): sets that lie within (1-t)/2 of a leader. No leader has a home but itself."""
-    found, left = None, shared.select("key", "sid", "n")
+    found, left = None, shared.where("down = 0").select("key", "sid", "n")  # groups mostly lie in one band
     for _ in range(ROUNDS):
         score = left.groupBy("sid").agg(F.sum("n").alias("score"))
         scored = left.join(score, "sid")
@@ -255,7 +255,7 @@ def _by_grams(docs: DataFrame, sets: DataFrame, hot: DataFrame, n: int, t: float
     def part(batches):
         seen: set[int] = set()
         for rb in batches:
-            at, down, whole, size, first, keys = [], [], [], [], [], []
+            at, facts, keys = [], [], []
             wanted = list(zip(*[rb.column(c).to_pylist() for c in range(3)], strict=True))
             new = [i for i, (s, _, _) in enumerate(wanted) if not (s in seen or seen.add(s))]
             texts = rb.column(4).take(pa.array(new, pa.int64())).to_pylist()
@@ -265,22 +265,21 @@ def _by_grams(docs: DataFrame, sets: DataFrame, hot: DataFrame, n: int, t: float
                     _, share, below = level(b - d, t)
                     s = u[: np.searchsorted(u, np.uint64(below), "right")]
                     at.append(i)
-                    down.append(d)
-                    whole.append(share == 1.0)
-                    size.append(len(s))
-                    first.append(reach(len(s), t, share == 1.0))
+                    facts.append((d, share == 1.0, len(s), reach(len(s), t, share == 1.0)))
                     with np.errstate(over="ignore"):
                         keys.append(_text.mix(s + np.uint64(b - d + 1) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
-            took = rb.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([took.column(0), took.column(3), pa.array(down, pa.int32()), pa.array(whole, pa.bool_()), pa.array(size, pa.int32()), pa.array(first, pa.int32()), _lists(keys)], names=["sid", "home", "down", "whole", "k", "reach", "keys"])
+            took, down, whole = rb.take(pa.array(at, pa.int64())), [x[0] for x in facts], [x[1] for x in facts]
+            yield pa.RecordBatch.from_arrays([took.column(0), took.column(3), pa.array(down, pa.int32()), pa.array(whole, pa.bool_()), *[pa.array([x[i] for x in facts], pa.int32()) for i in (2, 3)], _lists(keys)], names=["sid", "home", "down", "whole", "k", "reach", "keys"])
 
     rows = _texts(docs, need, id_col, text_col).select("sid", "own", "low", "home", "text").mapInArrow(part, "sid long, home long, down int, whole boolean, k int, reach int, keys array<long>")
-    rows = _io.written(rows, "common-grams").dropDuplicates(["sid", "down"])
-    grams = rows.select("sid", "home", "down", "whole", "k", "reach", F.explode("keys").alias("key"))
+    rows = _io.written(rows.withColumn("of", 2 * F.col("sid") + F.col("down")), "common-grams")
+    once = rows.select("of").distinct().count() == rows.count()  # else rows that are repeated in docs came in several tasks
+    grams = (rows if once else rows.groupBy("of").agg(F.first("keys").alias("keys"))).select("of", F.explode("keys").alias("key"))  # narrow: they are many
     shared = grams.join(grams.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
-    by = Window.partitionBy("sid", "down")  # as many rows as a sample has n-grams
-    place = F.col("k") - F.count("*").over(by) + F.row_number().over(by.orderBy("n", "key"))
-    used = shared.withColumn("place", place).where("place <= reach").select("key", "home", "down", "whole", (F.col("k") - F.col("place") + 1).alias("rest"), "k")
+    by = Window.partitionBy("of")  # as many rows as a sample has n-grams
+    order = shared.withColumn("shared", F.count("*").over(by)).withColumn("at", F.row_number().over(by.orderBy("n", "key")))
+    facts = rows.groupBy("of").agg(*[F.first(c).alias(c) for c in ("home", "down", "whole", "k", "reach")])
+    used = order.join(facts, "of").withColumn("place", F.col("k") - F.col("shared") + F.col("at")).where("place <= reach").select("key", "home", "down", "whole", (F.col("k") - F.col("place") + 1).alias("rest"), "k")
     return used.groupBy("key", "home").agg(F.min("down").alias("down"), F.first("whole").alias("whole"), F.max("rest").alias("rest"), F.min("k").alias("k"))
 
 
@@ -319,7 +318,7 @@ def _in_blocks(docs: DataFrame, sets: DataFrame, amb: DataFrame, members: DataFr
     right = amb.join(members.withColumnRenamed("home", "other"), "other").join(blocks, "anchor").select("anchor", "other", "sid", mine("nb").alias("bb"), all_of("na").alias("ba"))
     at = _io.written(left.unionByName(right), "blocks")
     tasks = max(1, at.count() // (2 * BLOCK))
-    rows = at.withColumn("bucket", F.pmod(F.xxhash64("anchor", "ba", "bb"), F.lit(tasks))).join(_grams(docs, sets, at, n, id_col, text_col), "sid")
+    rows = _grams(docs, sets, at, n, id_col, text_col).join(_io.hinted(at.withColumn("bucket", F.pmod(F.xxhash64("anchor", "ba", "bb"), F.lit(tasks)))), "sid")
 
     def count(table: pa.Table) -> pa.Table:
         cols = {c: table.column(c).to_pylist() for c in ("anchor", "other", "sid", "ba", "bb")}
