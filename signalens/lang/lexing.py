@@ -20,6 +20,8 @@ def unquote(literal: str) -> str:
         return body
     if "\n" in body:
         raise ParseError("line break in a string")
+    if "\\" not in body:
+        return body
     out, i = [], 0
     while i < len(body):
         c = body[i]
@@ -70,42 +72,54 @@ def duration_text(ms: int) -> str:
     return "".join(out)
 
 
-def check_regex(pattern: str) -> re.Pattern:
+_PLAIN = re.compile(r"[^\\^$*+?{}\[\]|()]*")
+
+
+def compiled(pattern: str) -> re.Pattern:
     try:
         return re.compile(pattern)
     except (re.error, RecursionError, OverflowError) as e:
         raise ParseError(f"bad regular expression: {e}") from None
 
 
+def check_regex(pattern: str) -> None:
+    """Raises ParseError unless it compiles; what has no special characters but dots does."""
+    if not _PLAIN.fullmatch(pattern):
+        compiled(pattern)
+
+
+def matches_empty(pattern: str) -> bool:
+    return not pattern if _PLAIN.fullmatch(pattern) else compiled(pattern).fullmatch("") is not None
+
+
 class Tokens:
     """A list of (kind, text, start) that is read from the left."""
 
     def __init__(self, items: list[tuple[str, str, int]]):
-        self.items, self.i, self.depth = items, 0, 0
+        self.items, self.depth = items, 0
+        self.end = ("end", "", items[-1][2] + len(items[-1][1]) if items else 0)
+        self._go(0)
 
-    @property
-    def kind(self) -> str:
-        return self.items[self.i][0] if self.i < len(self.items) else "end"
-
-    @property
-    def text(self) -> str:
-        return self.items[self.i][1] if self.i < len(self.items) else ""
+    def _go(self, i: int) -> None:
+        """kind and text are attributes of their own because parsers ask for them all the time."""
+        self.i = i
+        self.kind, self.text, _ = self.items[i] if i < len(self.items) else self.end
 
     def ahead(self, n: int = 1) -> str:
         return self.items[self.i + n][1] if self.i + n < len(self.items) else ""
 
     def take(self) -> str:
         t = self.text
-        self.i += 1
+        self._go(self.i + 1)
         return t
 
     def at(self, *texts: str) -> bool:
         """The next token is one of these signs or keywords (a string literal never is)."""
-        return self.kind not in ("end", "string") and self.text in texts
+        return self.text in texts and self.kind != "string" and self.kind != "end"
 
     def skip(self, *texts: str) -> bool:
         if self.at(*texts):
-            self.i += 1
+            self._go(self.i + 1)
             return True
         return False
 
@@ -127,12 +141,12 @@ class Tokens:
 
 def scan(pattern: re.Pattern, text: str) -> list[tuple[str, str, int]]:
     """Tokens by a pattern of named groups; groups whose name starts with _ are dropped."""
-    out, i = [], 0
+    out, i, match = [], 0, pattern.match
     while i < len(text):
-        m = pattern.match(text, i)
+        m = match(text, i)
         if not m or m.end() == i:
             raise ParseError(f"unexpected character {text[i]!r} at {i}")
-        if not m.lastgroup.startswith("_"):
-            out.append((m.lastgroup, m.group(), i))
+        if (kind := m.lastgroup)[0] != "_":
+            out.append((kind, m.group(), i))
         i = m.end()
     return out
