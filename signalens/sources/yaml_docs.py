@@ -9,8 +9,8 @@ class ShapeError(ValueError):
     """The document is not of the shape that is asked for."""
 
 
-class _Loader(yaml.SafeLoader):
-    pass
+class _Loader(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
+    """libyaml's parser where it is there: a tenth of the time."""
 
 
 def load(text: str):
