@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from signalens.sources import yaml_docs as Y
 
 
+#: Patterns of an allowlist at most.
+MOST = 100_000
+
+
 @dataclass
 class Allowlist:
     """(pattern, reason), (metric, label, reason) and (metric, label, value, reason); all but reasons are patterns."""
@@ -17,7 +21,16 @@ class Allowlist:
     labels: list[tuple[str, str, str]] = field(default_factory=list)
     values: list[tuple[str, str, str, str]] = field(default_factory=list)
 
+    def __post_init__(self) -> None:
+        self.check()
+
+    def check(self) -> None:
+        """Patterns go to all workers, so there is a bound to them."""
+        if (n := len(self.metrics) + len(self.labels) + len(self.values)) > MOST:
+            raise ValueError(f"{n} patterns are more than an allowlist may have ({MOST})")
+
     def tables(self, spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+        self.check()
         return (
             spark.createDataFrame(self.metrics, "metric_pat string, reason string"),
             spark.createDataFrame(self.labels, "metric_pat string, label_pat string, reason string"),

@@ -17,6 +17,7 @@ import urllib.request
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from datetime import datetime, timezone
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 TTL_SECONDS, TIMEOUT_S, MAX_BODY, MAX_ERROR, SCHEMA_VERSION = 3600, 30, 32 << 20, 512, 1
 NAMES, LABEL_NAMES, METRIC_LABELS, METRIC_VALUES, STREAM_VALUES = "__all_metric_names__", "__all_label_names__", "__metric_labels__:{}", "__metric_label_values__:{}:{}", "__stream_label_values__:{}"
 
+_VALUES_OF = tuple(x.partition(":")[0] + ":" for x in (METRIC_VALUES, STREAM_VALUES))
+
 
 class CatalogError(RuntimeError):
     """The catalog cannot be read; it ends the run."""
@@ -116,6 +119,26 @@ class Entry:
     values: list[str] | None
     schema_version: int = SCHEMA_VERSION
     error: str = ""
+    series_count: int = 0
+
+    def document(self) -> dict:
+        """The entry as it is stored: names of metrics, names of labels or, by label, values; sorted, without repetitions."""
+        values = sorted(set(self.values or []))
+        label = self.query.rpartition(":")[2]
+        result = {"metric_names": values} if self.query == NAMES else {"label_values": {label: values}} if self.query.startswith(_VALUES_OF) else {"label_names": values}
+        result |= {"series_count": self.series_count} if self.series_count else {}
+        when = datetime.fromtimestamp(self.fetched_at, timezone.utc).isoformat().replace("+00:00", "Z")
+        own = {"schema_version": self.schema_version, "query": self.query, "language": self.language, "source": self.source, "fetched_at": when}
+        return own | ({"ttl_seconds": self.ttl_seconds} if self.ttl_seconds else {}) | ({"error": self.error} if self.error else {"result": result})
+
+    @classmethod
+    def of(cls, doc: dict) -> Entry:
+        """The entry of a document; raises ValueError, TypeError or KeyError if it is none."""
+        r = doc.get("result")
+        values = None if r is None else [*r.get("metric_names", []), *r.get("label_names", []), *[v for vs in r.get("label_values", {}).values() for v in vs]]
+        e = cls(doc["query"], doc["language"], doc["source"], datetime.fromisoformat(doc["fetched_at"]).timestamp(), doc.get("ttl_seconds", 0), values, doc["schema_version"], doc.get("error", ""), (r or {}).get("series_count", 0))
+        e.validate()
+        return e
 
     def expired(self, now: float) -> bool:
         return self.ttl_seconds > 0 and now - self.fetched_at > self.ttl_seconds
@@ -167,7 +190,7 @@ class FileStore:
         for lang in ("promql", "logql"):
             try:
                 with open(self._path(lang, key), encoding="utf-8") as f:
-                    return Entry(**json.load(f))
+                    return Entry.of(json.load(f))
             except FileNotFoundError:
                 continue
         return None
@@ -178,7 +201,7 @@ class FileStore:
         os.makedirs(os.path.dirname(path), exist_ok=True)
         fd, temp = tempfile.mkstemp(dir=os.path.dirname(path), suffix=".tmp")
         with os.fdopen(fd, "w", encoding="utf-8") as f:
-            json.dump(e.__dict__ | {"values": None if e.values is None else sorted(set(e.values))}, f)
+            json.dump(e.document(), f)
         os.replace(temp, path)
 
     def delete(self, key: str) -> None:
@@ -213,12 +236,14 @@ class Catalog:
             raise CatalogError("a client needs the name of its source")
         self.prometheus, self.loki, self.sources = prometheus, loki, {"promql": prometheus_source, "logql": loki_source}
         self.store, self.ttl, self.jobs, self.clock = store or MemoryStore(), ttl_seconds, jobs, clock
+        #: Called with the seconds that the requests of a snapshot took.
+        self.observe: Callable[[float], None] | None = None
 
     def cached(self, lang: str, query: str, fetch: Callable[[], list[str]]) -> list[str]:
         source, now = self.sources[lang], self.clock()
         try:
             e = self.store.get(key_for(lang, source, query))
-        except (OSError, ValueError, TypeError):
+        except (OSError, ValueError, TypeError, KeyError, AttributeError):
             e = None
         if e is not None and e.values and not e.expired(now):
             return e.values
@@ -228,7 +253,7 @@ class Catalog:
 
     def snapshot(self, spark: SparkSession, plan: DataFrame) -> Tables:
         """Tables for a work list (lang, task, metric, label) as made by operators.checks.work_list: at most ``jobs`` requests at
-        a time; the first failure ends it."""
+        a time. All are tried; what was got is in the store, and the failures of the others are raised together."""
         wanted = sorted({(r.lang, r.task, r.metric or "", r.label or "") for r in plan.collect()})
 
         def fetch(w):
@@ -246,8 +271,19 @@ class Catalog:
                 return w, self.cached(lang, STREAM_VALUES.format(label), lambda: lo.label_values(label))
             return w, []
 
-        with ThreadPoolExecutor(max(1, self.jobs)) as pool:
-            got = list(pool.map(fetch, wanted))
+        def attempt(w):
+            try:
+                return fetch(w)
+            except (CatalogError, OSError, ValueError) as e:
+                return e
+
+        began = time.monotonic()
+        with ThreadPoolExecutor(self.jobs if self.jobs > 0 else 4) as pool:
+            got = list(pool.map(attempt, wanted))
+        if self.observe is not None:
+            self.observe(time.monotonic() - began)
+        if errors := [str(e) for e in got if isinstance(e, Exception)]:
+            raise CatalogError("\n".join(dict.fromkeys(errors)))
         rows = {k: [] for k in ("metrics", "labels", "values", "stream_labels", "stream_values")}
         for (lang, task, metric, label), found in got:
             if lang == "promql":
@@ -264,35 +300,40 @@ class Catalog:
 
 
 class _Part(InputPartition):
-    def __init__(self, metric: str):
-        self.value = metric
+    def __init__(self, metric: str, label: str = ""):
+        self.metric, self.label = metric, label
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
 
+    def _client(self) -> PrometheusHttp | LokiHttp:
+        o, headers = self.options, {k[len("header.") :]: v for k, v in self.options.items() if k.startswith("header.")}
+        return LokiHttp(o["url"], headers) if o.get("lang") == "logql" else PrometheusHttp(o["url"], headers)
+
     def partitions(self):
-        return [_Part(m) for m in self.options.get("metrics", "").split(",")]
+        if self.options.get("lang") == "logql":
+            return [_Part("", label) for label in self._client().label_names()] or [_Part("")]
+        metrics = [m for m in self.options.get("metrics", "").split(",") if m]
+        return [_Part(m, label) for m in metrics for label in self._client().label_names([scope(m)])] or [_Part("")]
 
     def read(self, partition: _Part):
-        o, metric = self.options, partition.value
-        client = LokiHttp(o["url"]) if o.get("lang") == "logql" else PrometheusHttp(o["url"])
-        if o.get("lang") == "logql":
-            for label in client.label_names():
-                for v in client.label_values(label):
-                    yield "", label, v
-        elif not metric:
+        client, metric, label = self._client(), partition.metric, partition.label
+        if isinstance(client, LokiHttp):
+            for v in client.label_values(label) if label else []:
+                yield "", label, v
+        elif label:
+            for v in client.label_values(label, [scope(metric)]):
+                yield metric, label, v
+        elif not self.options.get("metrics"):
             for m in client.metric_names():
                 yield m, None, None
-        else:
-            for label in client.label_names([scope(metric)]):
-                for v in client.label_values(label, [scope(metric)]):
-                    yield metric, label, v
 
 
 class CatalogSource(DataSource):
-    """format("signal_catalog"): options url, lang (promql or logql) and metrics (comma-separated; without them, names only)."""
+    """format("signal_catalog"): options url, lang (promql or logql), metrics (comma-separated; without them, names only) and header.<name>
+    for each header. Labels are asked for when the read is planned; the values of each are a partition."""
 
     @classmethod
     def name(cls) -> str:

@@ -88,6 +88,96 @@ def test_extraction_commands(tmp_path):
     assert _run()[0] == _run("nope")[0] == _run("promql", "expr")[0] == _run("dashboard", str(tmp_path / "none"))[0] == _run("traceql", "rule-file", "x")[0] == 1
 
 
+def test_dashboard_command(tmp_path):
+    """Language, variables and references of every target and variable, or the error; wrappers of variables are taken off."""
+    from test_documents import _dashboard
+
+    d = _dashboard()
+    d["panels"][1]["targets"] += [{"refId": "B", "expr": "rate("}]
+    d["templating"]["list"] += [{"name": "w", "type": "query", "query": "label_names()"}]
+    (tmp_path / "d.json").write_text(json.dumps(d))
+    code, out, _ = _run("dashboard", str(tmp_path / "d.json"), "-", stdin="[")
+    doc, bad = [json.loads(x) for x in out.splitlines()]
+    assert code == 0 and bad["panels"] is None and "error" in bad and doc["title"] == "t" and [p["id"] for p in doc["panels"]] == [1, 2, 3]
+    one, two, three = (p["targets"] for p in doc["panels"])
+    assert (one[0]["language"], one[0]["variables"], one[0]["logql"]["streamSelectors"]) == ("logql", ["b"], [{"label": "a", "op": "=", "value": "__dashboard_var__"}])
+    assert two[0]["promql"]["metricRefs"] == ["up"] and two[0]["datasource"] == "prometheus" and "error" not in two[0] and "variables" not in two[0]
+    assert three[0]["expr"] == 'rate(m{x="[[y]]"}[$__interval])' and three[0]["promql"]["expr"] == 'rate(m{x="__dashboard_var__"}[5m])' and three[0]["variables"] == ["y"]
+    assert three[1]["error"].startswith("parse: ") and "promql" not in three[1] and three[1]["language"] == "promql"
+    v, w = doc["variables"]
+    assert (v["type"], v["query"], v["promql"]["metricRefs"]) == ("query", "label_values(up, job)", ["up"]) and w == {"name": "w", "type": "query", "query": "label_names()", "language": "promql"}
+
+
+def test_rules_of_dashboards_in_python_and_in_spark(spark):
+    from pyspark.sql import functions as F
+
+    from signalens.functions import python_rules as P
+    from signalens.functions import rules as R
+
+    exprs = ["", "up", " \t{a}", "\u00a0{a}", "$a ${b:raw} [[c]] [[ d:x ]] $__interval $__range_x ${__from}", "$é $1 $_x $$y ${a", "rate(m[$__rate_interval]) $__org", "$__interval_ms[[x]]$__intervals"]
+    sources = ["", "prometheus", "x-loki", "mixed", "grafana-mimir"]
+    df = spark.createDataFrame([(e, s) for e in exprs for s in sources], "e string, s string")
+    known = R.language_of(F.col("s"))
+    for r in df.select("e", "s", R.normalised(F.col("e")).alias("n"), R.variables_in(F.col("e")).alias("v"), F.when(known == "unknown", R.guessed_language(F.col("e"))).otherwise(known).alias("lang")).collect():
+        assert (P.normalised(r.e), P.variables(r.e), P.language(r.s, r.e)) == (r.n, r.v, r.lang), r
+
+
+def test_prewarm_goes_on_after_failures(spark):
+    class Client:
+        asked: list = []
+
+        def metric_names(self):
+            return ["a", "b"]
+
+        def label_names(self, matchers):
+            self.asked.append(matchers[0])
+            if "bad" in matchers[0]:
+                raise C.CatalogError(f"no {matchers[0]}")
+            return ["x"]
+
+        def label_values(self, label, matchers):
+            return ["1"]
+
+    plan = spark.createDataFrame([("promql", "names", "", ""), ("promql", "labels", "bad1", ""), ("promql", "labels", "ok", ""), ("promql", "labels", "bad2", ""), ("promql", "values", "ok", "x")], "lang string, task string, metric string, label string")
+    m, c = telemetry.Metrics(), C.Catalog(Client(), prometheus_source="s", jobs=0)
+    c.observe = m.observe_prewarm
+    with pytest.raises(C.CatalogError) as e:
+        c.snapshot(spark, plan)
+    assert "bad1" in str(e.value) and "bad2" in str(e.value) and len(Client.asked) == 3
+    assert len(c.store.keys()) == 3  # what was got is kept
+    assert "signalens_prewarm_duration_seconds_count 1\n" in m.text() and 'signalens_prewarm_duration_seconds_bucket{le="+Inf"} 1\n' in m.text()
+
+
+def test_stored_entries(tmp_path):
+    s = C.FileStore(str(tmp_path))
+    for query, values, where in ((C.NAMES, ["b", "a", "b"], "metric_names"), (C.METRIC_LABELS.format("m"), ["l"], "label_names"), (C.METRIC_VALUES.format("m:x", "job"), ["v"], "label_values"), (C.STREAM_VALUES.format("app"), ["w"], "label_values"), (C.LABEL_NAMES, [], "label_names")):
+        e = C.Entry(query, "promql", "src", 1700000000.5, 60, values, series_count=3)
+        s.put(e)
+        with open(s._path("promql", e.key)) as f:
+            doc = json.load(f)
+        assert set(doc) == {"schema_version", "query", "language", "source", "fetched_at", "ttl_seconds", "result"} and doc["fetched_at"] == "2023-11-14T22:13:20.500000Z"
+        want = sorted(set(values))
+        assert doc["result"] == {where: {query.rpartition(":")[2]: want} if where == "label_values" else want, "series_count": 3}
+        got = s.get(e.key)
+        assert got.values == want and got.fetched_at == 1700000000.5 and got.series_count == 3
+    e = C.Entry("q", "logql", "src", 1.0, 0, None, error="gone")
+    s.put(e)
+    assert s.get(e.key).error == "gone" and s.get(e.key).values is None
+    (tmp_path / "v1/promql/x.json").write_text('{"query": 1}')
+    with pytest.raises((KeyError, ValueError)):
+        s.get("x")
+
+
+def test_catalog_source(spark, server):
+    url, asked = server
+    C.register(spark)
+    read = lambda **o: spark.read.format("signal_catalog").options(url=url, **o).load()
+    assert [tuple(r) for r in read(**{"header.X-T": "tenant"}).collect()] == [("up", None, None)] and asked[-1][2] == "tenant"
+    m = read(metrics="up,down")
+    assert m.rdd.getNumPartitions() == 2 and sorted(tuple(r) for r in m.collect()) == [("down", "job", "api"), ("up", "job", "api")]
+    assert [tuple(r) for r in read(lang="logql").collect()] == [("", "app", "web")]
+
+
 def test_validation_commands(spark, tmp_path, server):
     url, asked = server
     (tmp_path / "r.yaml").write_text("groups: [{name: g, interval: 1m, rules: [{alert: A, expr: 'up{job=\"apx\"} + upp', for: 5m, labels: {severity: p}, annotations: {summary: s, description: d}}]}]")
