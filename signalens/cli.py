@@ -15,7 +15,9 @@ import threading
 import time
 
 from signalens import telemetry
+from signalens.functions import python_rules
 from signalens.functions.extract import _FIELDS, extract_row
+from signalens.functions.wrappers import unwrap
 from signalens.lang.lexing import duration_ms
 
 USAGE, CLEAN, WARNINGS, ERRORS = 1, 0, 1, 2
@@ -94,7 +96,8 @@ def _files(kind: str, paths: list[str], out, stdin) -> int:
         doc: dict = {"path": p}
         try:
             if kind == "dashboard":
-                doc |= dashboards.decode(text)
+                doc |= {"panels": None}
+                doc |= dashboard(dashboards.decode(text))
             else:
                 doc["groups"] = [g | {"rules": [r | {"result": expression(kind, r["expr"])} for r in g["rules"]]} for g in yaml_docs.rule_groups(text)]
         except (yaml.YAMLError, ValueError) as e:
@@ -103,6 +106,26 @@ def _files(kind: str, paths: list[str], out, stdin) -> int:
     return 0
 
 
+def dashboard(d: dict) -> dict:
+    """A decoded dashboard with the language, the variables and the references of every target and variable; what is empty is left out."""
+    filled = lambda x: {k: v for k, v in x.items() if v or k in ("language", "expr", "name")}
+
+    def query(raw: str, datasource: str, wrapped: bool) -> dict:
+        lang, names, text = python_rules.language(datasource, raw), python_rules.variables(raw), python_rules.normalised(raw)
+        text = unwrap(text) if wrapped and lang == "promql" else text
+        got = expression(lang, text) if text is not None else {}
+        error = got.pop("error", "")
+        return {"language": lang, "variables": names, lang: None if error else got, "error": error}
+
+    panels = []
+    for p in d["panels"]:
+        targets = [filled({"refId": t["ref_id"], "datasource": t["datasource"], "expr": t["expr"]} | query(t["expr"], t["datasource"], False)) for t in p["targets"]]
+        panels.append({k: v for k, v in {"id": p["id"], "title": p["title"], "type": p["type"], "datasource": p["datasource"], "targets": targets}.items() if v})
+    variables = [filled({"name": v["name"], "type": v["type"], "datasource": v["datasource"], "query": v["query"]} | query(v["query"], v["datasource"], True)) for v in d["variables"]]
+    head = {k: d[k] for k in ("title", "uid") if d[k]} | {"panels": panels}
+    return head | ({"variables": variables} if variables else {})
+
+
 class _Parser(argparse.ArgumentParser):
     def error(self, message: str):
         raise ValueError(message)
@@ -183,18 +206,16 @@ def validation(mode: str, argv: list[str], out, err) -> int:
 
     def once() -> tuple[list[dict], dict[str, int]]:
         r = validate(spark, inputs, conf)
-        found = report.collected(r.findings)
-        text = report.render(r.findings.sparkSession.createDataFrame(r.findings.collect(), r.findings.schema), o.format, r.files_scanned)
+        text, found = report.rendered(r.findings, o.format, r.files_scanned)
         if o.output == "-":
             out.write(text)
         else:
             with open(o.output, "w", encoding="utf-8") as f:
                 f.write(text)
-        spark.catalog.clearCache()
         return found, r.files_by_kind
 
     if mode == "validate" and o.watch:
-        return watch(inputs, once, debounce, refresh, o.listen, err)
+        return watch(inputs, once, debounce, refresh, o.listen, err, catalog=conf.catalog)
     try:
         if deadline > 0:
             found, _ = concurrent.futures.ThreadPoolExecutor(1).submit(once).result(timeout=deadline)
@@ -215,11 +236,14 @@ def exit_code(findings: list[dict]) -> int:
     return ERRORS if "error" in worst else WARNINGS if "warning" in worst else CLEAN
 
 
-def watch(inputs, once, debounce: float, refresh: float, listen: str, err, stop: threading.Event | None = None) -> int:
-    """Until interrupted; each pass is logged and counted. Fails if the probes' address cannot be had."""
+def watch(inputs, once, debounce: float, refresh: float, listen: str, err, stop: threading.Event | None = None, catalog=None) -> int:
+    """Until interrupted; each pass is logged and counted, and so is how long the catalog takes. Fails if the probes' address cannot
+    be had."""
     from signalens.streaming.watch import Watcher
 
     metrics, log = telemetry.Metrics(), telemetry.logger(stream=err)
+    if catalog is not None:
+        catalog.observe = metrics.observe_prewarm
     server = None
     if listen:
         host, _, port = listen.rpartition(":")

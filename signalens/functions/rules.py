@@ -53,12 +53,23 @@ def duration_text(ms: Column) -> Column:
     return F.when(ms == 0, "0s").when(ms % size["y"] == 0, whole("y")).when(ms % size["w"] == 0, whole("w")).otherwise(F.concat(*parts))
 
 
+_HIDDEN = r"[\p{C}\p{Z}&&[^ ]]"
+
+
 def quoted(c: Column) -> Column:
-    """A double-quoted literal, with escapes for quotes, backslashes, line breaks and tabs."""
+    """A double-quoted literal: quotes and backslashes are escaped, and so are characters that cannot be seen, control characters of one
+    byte as \\xNN, others as \\uNNNN or \\UNNNNNNNN."""
     out = F.replace(c, F.lit("\\"), F.lit("\\\\"))
-    for raw, name in (('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+    for raw, name in (('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\a", "\\a"), ("\b", "\\b"), ("\f", "\\f"), ("\v", "\\v")):
         out = F.replace(out, F.lit(raw), F.lit(name))
-    return F.concat(F.lit('"'), out, F.lit('"'))
+
+    def each(ch: Column) -> Column:
+        code = F.conv(F.hex(F.encode(ch, "UTF-32")), 16, 10).cast("long")
+        digits = lambda n: F.lpad(F.lower(F.hex(code)), n, "0")
+        return F.when(~ch.rlike(_HIDDEN), ch).when(code < 128, F.concat(F.lit("\\x"), digits(2))).when(code < 65536, F.concat(F.lit("\\u"), digits(4))).otherwise(F.concat(F.lit("\\U"), digits(8)))
+
+    hidden = F.array_join(F.transform(F.regexp_extract_all(out, F.lit("(?s)."), F.lit(0)), each), "")
+    return F.concat(F.lit('"'), F.when(out.rlike(_HIDDEN), hidden).otherwise(out), F.lit('"'))
 
 
 def language_of(datasource: Column) -> Column:

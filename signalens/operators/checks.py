@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from signalens.functions import rules as R
 from signalens.operators import findings as f
 from signalens.operators import suggest
+from signalens.operators import tables as tables_of
 from signalens.sources.allowlist import Allowlist
 from signalens.sources.catalog import Tables
 
@@ -24,8 +25,16 @@ def references(df: DataFrame, lang: str, result: str = "r") -> tuple[DataFrame,
     here = [F.col(c) for c in SOURCE]
     if lang == "logql":
         return None, ok.select(*here, F.posexplode(f"{result}.streamSelectors").alias("seq", "s")).select(*SOURCE, "seq", "s.*")
-    metrics = ok.select(*here, F.posexplode(f"{result}.metricRefs").alias("seq", "metric"))
-    return metrics, ok.select(*here, F.posexplode(f"{result}.selectors").alias("seq", "s")).select(*SOURCE, "seq", "s.*")
+    none = F.lit("")
+    m = F.transform(f"{result}.metricRefs", lambda x, i: F.struct(F.lit(True).alias("whole"), i.alias("seq"), x.alias("metric"), none.alias("label"), none.alias("op"), none.alias("value")))
+    s = F.transform(f"{result}.selectors", lambda x, i: F.struct(F.lit(False).alias("whole"), i.alias("seq"), x["metric"].alias("metric"), x["label"].alias("label"), x["op"].alias("op"), x["value"].alias("value")))
+    each = ok.select(*here, F.explode(F.concat(m, s)).alias("s")).select(*SOURCE, "s.*")
+    return each.where("whole").select(*SOURCE, "seq", "metric"), each.where("not whole").drop("whole")
+
+
+def cut(df: DataFrame, result: str = "r") -> DataFrame:
+    """Sources and results as a table, so that the several checks don't parse again."""
+    return tables_of.written(df.select(*SOURCE, result), "references")
 
 
 def work_list(metrics: DataFrame | None, selectors: DataFrame | None, streams: DataFrame | None) -> DataFrame:
@@ -69,8 +78,6 @@ def unknown_values(selectors: DataFrame, known: DataFrame, labels: DataFrame, va
     return s.join(F.broadcast(allow), a, "left_anti")
 
 
-
-
 def unknown_stream_labels(streams: DataFrame, labels: DataFrame, allow: DataFrame) -> DataFrame:
     """Labels of logs are global: allowlist entries are asked with an empty metric."""
     s = streams.where("label <> ''").join(labels.select("label").distinct(), "label", "left_anti")
@@ -96,7 +103,7 @@ def check_promql(df: DataFrame, tables: Tables, allow: Allowlist, result: str =
         return []
     if tables.metrics.isEmpty():
         raise ValueError("the metrics catalog is empty")
-    metrics, selectors = references(df, "promql", result)
+    metrics, selectors = references(cut(df, result), "promql", result)
     if skip_variables:
         metrics = metrics.where(~F.col("metric").contains(R.VARIABLE))
         selectors = selectors.where(~F.col("metric").contains(R.VARIABLE) & ~F.col("value").contains(R.VARIABLE) & ~F.col("label").contains(R.VARIABLE))
@@ -119,7 +126,7 @@ def check_logql(df: DataFrame, tables: Tables, allow: Allowlist, result: str = "
         return []
     if tables.stream_labels.isEmpty():
         raise ValueError("the logs catalog is empty")
-    _, streams = references(df, "logql", result)
+    _, streams = references(cut(df, result), "logql", result)
     if skip_variables:
         streams = streams.where(~F.col("value").contains(R.VARIABLE) & ~F.col("label").contains(R.VARIABLE))
     _, al, av = allow.tables(df.sparkSession)

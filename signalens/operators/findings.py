@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalens.functions import rules as R
+from signalens.operators import tables
 
 CODES = {
     "promql": "E001_PROMQL_PARSE_ERROR", "logql": "E002_LOGQL_PARSE_ERROR", "yaml": "E003_RULEFILE_YAML_INVALID", "json": "E004_DASHBOARD_JSON_INVALID", "metric": "E101_METRIC_UNKNOWN", "label": "E102_LABEL_UNKNOWN", "value": "E103_LABEL_VALUE_UNKNOWN",
@@ -49,6 +50,11 @@ def ordered(f: DataFrame) -> DataFrame:
     return f.orderBy(*SORT_KEYS, "seq")
 
 
+def positions(f: DataFrame) -> DataFrame:
+    """Findings with their position in a report, from 1 on."""
+    return tables.numbered(f, *SORT_KEYS, "seq")
+
+
 def counts(f: DataFrame) -> DataFrame:
     """Findings by code, severity and category."""
     return f.groupBy("code", "severity", "category").agg(F.count("*").alias("n"))

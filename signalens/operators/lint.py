@@ -27,33 +27,23 @@ class Config:
 
 
 ZERO = Config(False, (), "", False, False)
-
-
-def duplicates(r: DataFrame) -> DataFrame:
-    """Every alert after the first of its name, with the place of the first: metric rules before log rules, then in order of file,
-    group and rule. Only names are shuffled, and only those that occur twice are sorted."""
-    w = Window.partitionBy("alert").orderBy(F.when(F.col("kind") == "promql", 0).otherwise(1), "file_pos", "group_pos", "rule_pos")
-    place = F.when(F.col("group") != "", F.concat("path", F.lit(":"), "group")).otherwise(F.col("path"))
-    return r.where("alert <> ''").withColumn("nth", F.row_number().over(w)).withColumn("first_place", F.first(place).over(w)).where("nth > 1")
+FOUND = "array<struct<code:string,severity:string,message:string,label:string,seq:bigint>>"
 
 
 def lint(rules: DataFrame, config: Config = Config()) -> list[DataFrame]:
-    """Findings of all checks. rules: as made by sources.documents.rule_table; rows without a rule are left out."""
+    """Findings of all checks, in one pass over the rules. rules: as made by sources.documents.rule_table; rows without a rule are
+    left out.
+
+    Duplicates are every alert after the first of its name, with the place of the first: metric rules before log rules, then in
+    order of file, group and rule. Names alone are brought together for that; rules without one stay spread.
+    """
     if config.is_zero:
         config = Config()
-    r = rules.where("rule_pos is not null")
-    out = [_row_findings(r, config)]
-    if config.duplicate_alerts:
-        out.append(f.make(duplicates(r), f.CODES["duplicate"], "lint", F.concat(F.lit("alert name `"), "alert", F.lit("` is also defined at "), "first_place"), seq="nth", group="group", rule="rule"))
-    return out
+    r, alert, found = rules.where("rule_pos is not null"), F.col("alert") != "", []
+    s = lambda c: F.coalesce(F.col(c), F.lit(""))
 
-
-def _row_findings(r: DataFrame, config: Config) -> DataFrame:
-    """The findings that a rule by itself gives rise to, all in one pass over the rules."""
-    alert, found = F.col("alert") != "", []
-
-    def add(when, code: str, severity: str, message, label=None) -> None:
-        found.append(F.when(when, F.struct(F.lit(f.CODES[code]).alias("code"), F.lit(severity).alias("severity"), message.alias("message"), F.lit(label or "").alias("label"))))
+    def add(when, code: str, severity: str, message, label=None, seq=None) -> None:
+        found.append(F.when(when, F.struct(F.lit(f.CODES[code]).alias("code"), F.lit(severity).alias("severity"), message.alias("message"), F.lit(label or "").alias("label"), (F.lit(0) if seq is None else seq).cast("long").alias("seq"))))
 
     if config.empty_expr:
         add(R.stripped(F.col("expr")) == "", "empty", "warning", F.lit("rule expression is empty"))
@@ -65,7 +55,15 @@ def _row_findings(r: DataFrame, config: Config) -> DataFrame:
         r = r.withColumn("for_ms", R.duration_ms(F.col("for"))).withColumn("interval_ms", R.duration_ms(F.col("interval")))
         msg = F.concat(F.lit("alert `for` ("), "for", F.lit(") is less than group `interval` ("), R.duration_text(F.col("interval_ms")), F.lit(")"))
         add(alert & (F.col("for_ms") < F.col("interval_ms")), "for", "error" if config.for_lt_interval == "error" else "warning", msg)
-    if not found:
-        return f.none(r.sparkSession)
-    each = r.select("path", "group", "rule", F.explode(F.array_compact(F.array(*found))).alias("x")).select("path", "group", "rule", "x.*")
-    return f.make(each, F.col("code"), "lint", F.col("message"), severity=F.col("severity"), group="group", rule="rule", label="label")
+    own = F.array_compact(F.array(*found)) if found else F.array().cast(FOUND)
+    each = r.select("path", "group", "rule", "alert", "kind", "file_pos", "group_pos", "rule_pos", own.alias("own"))
+    if config.duplicate_alerts:
+        apart = F.when(s("alert") == "", F.xxhash64("path", "group_pos", "rule_pos"))
+        w = Window.partitionBy("alert", apart).orderBy(F.when(F.col("kind") == "promql", 0).otherwise(1), "file_pos", "group_pos", "rule_pos")
+        place = F.when(F.col("group") != "", F.concat("path", F.lit(":"), "group")).otherwise(F.col("path"))
+        each = each.withColumn("nth", F.row_number().over(w)).withColumn("first_place", F.first(place).over(w))
+        found = []
+        add(alert & (F.col("nth") > 1), "duplicate", "error", F.concat(F.lit("alert name `"), "alert", F.lit("` is also defined at "), "first_place"), seq=F.col("nth"))
+        each = each.withColumn("own", F.concat("own", F.array_compact(F.array(*found))))
+    rows = each.select("path", "group", "rule", F.explode("own").alias("x")).select("path", "group", "rule", "x.*")
+    return [f.make(rows, F.col("code"), "lint", F.col("message"), severity=F.col("severity"), group="group", rule="rule", label="label", seq="seq")]

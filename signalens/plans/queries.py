@@ -3,18 +3,22 @@ compared with what the same columns say. The SQL never parses anything, so the t
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalens.functions import rules as R
-from signalens.functions.extract import logql_extract, promql_extract, traceql_extract
+from signalens.functions.extract import logql_extract, promql_extract, register, traceql_extract
 from signalens.functions.wrappers import unwrap_variable_query
 from signalens.operators import checks, lint, suggest
 from signalens.operators import findings as fd
 from signalens.plans import report
-from signalens.plans.validate import extracted, parse_findings
+from signalens.operators.tables import new_path, written
+from signalens.plans.validate import Inputs, Settings, extracted, parse_findings, validate
+from signalens.sources import allowlist
 from signalens.sources import documents as docs
 from signalens.sources.allowlist import Allowlist
 from signalens.sources.catalog import Tables
@@ -139,34 +143,106 @@ def traceql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _traceql(spark, sf_dir).select("event_id", F.explode("r.functions").alias("function"))
 
 
+@query("""SELECT event_id, s.m AS metric, s.label, s.op, s.value FROM events, LATERAL (
+SELECT event_type || '_.*' AS m, NULL AS label, NULL AS op, NULL AS value UNION ALL SELECT event_type, NULL, NULL, NULL
+UNION ALL SELECT event_type || '_.*', 'user', '!=', 'u' || user_id UNION ALL SELECT event_type, 'kind', '=~', 'k.*' UNION ALL SELECT event_type, 'zone', '!~', 'z' || user_id || '|y') s""")
+def promql_name_matchers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A name given by a matcher of any operator is a metric and no selector; all four operators; aggregations are no functions."""
+    e = cat('topk(3, {__name__=~"', "`event_type`", '_.*",user!="u', "`user_id`", '"}) or ', "`event_type`", '{kind=~"k.*",zone!~"z', "`user_id`", '|y"}')
+    r = _t(spark, sf_dir, "events").select("event_id", promql_extract(e).alias("r")).where("r.error is null and size(r.functions) = 0")
+    none = [F.lit(None).cast("string").alias(c) for c in ("label", "op", "value")]
+    return r.select("event_id", F.explode("r.metricRefs").alias("metric"), *none).unionByName(r.select("event_id", F.explode("r.selectors").alias("s")).select("event_id", "s.*"))
+
+
+@query("SELECT o_orderkey, o_orderkey::DOUBLE + s.x AS at FROM orders, (VALUES (0.0::DOUBLE), (0.25::DOUBLE)) s(x)")
+def promql_at_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed times of subqueries and of selectors within; start() and end() carry none."""
+    r = promql_extract(cat("max_over_time(rate(a[1m] @ ", "`o_orderkey`", ".25)[1h:5m] @ ", "`o_orderkey`", ") + b @ start() - c @ end()"))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", F.explode(r.getField("atModifiers")).alias("at"))
+
+
+@query("""SELECT event_id, op, "match" FROM events, LATERAL (SELECT '|=' AS op, 'a' || user_id AS "match" UNION ALL SELECT '!=', 'b' UNION ALL SELECT '|~', 'c' || user_id || '.*'
+UNION ALL SELECT '!~', event_type UNION ALL SELECT '|>', '<_>d' || user_id || '<_>' UNION ALL SELECT '!>', '<_>e<_>' UNION ALL SELECT '|=', '10.0.0.0/8') s""")
+def logql_filter_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All line filters; an empty one is dropped, and of a filter function only the operand stays."""
+    e = cat('{app="x"} |= "a', "`user_id`", '" != "b" |~ "c', "`user_id`", '.*" !~ "', "`event_type`", '" |> "<_>d', "`user_id`", '<_>" !> "<_>e<_>" |= "" |= ip("10.0.0.0/8")')
+    return _t(spark, sf_dir, "events").select("event_id", F.explode(logql_extract(e).getField("lineFilters")).alias("s")).select("event_id", "s.*")
+
+
+@query("SELECT event_id, s.label, s.op, s.value FROM events, LATERAL (SELECT 'app' AS label, '!=' AS op, event_type AS value UNION ALL SELECT 'b', '!~', 'u' || user_id UNION ALL SELECT 'c', '=', 'c' UNION ALL SELECT 'd', '=~', 'd.+') s")
+def logql_matcher_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = cat('{app!="', "`event_type`", '", b!~"u', "`user_id`", '", c="c", d=~"d.+"}')
+    return _t(spark, sf_dir, "events").select("event_id", F.explode(logql_extract(e).getField("streamSelectors")).alias("s")).select("event_id", "s.*")
+
+
+@query("SELECT event_id, f AS function FROM events, (VALUES ('count_over_time'), ('label_replace'), ('sum')) t(f)")
+def logql_label_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = cat('label_replace(sum by (app) (count_over_time({app="', "`event_type`", '"}[5m])), "dst", "$1", "app", "(.*)")')
+    return _t(spark, sf_dir, "events").select("event_id", F.explode(logql_extract(e).getField("functions")).alias("function"))
+
+
+@query("""SELECT event_id, 'json' AS parsers, 'k>' || user_id AS filters, 'max,sum_over_time' AS functions, CAST(NULL AS VARCHAR) AS error FROM events""")
+def logql_not_recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formats, drops, unwraps, offsets, groupings and binary operators must parse, and leave no trace."""
+    e = cat('max without (pod) (sum_over_time({app="', "`event_type`", '"} | json | k > ', "`user_id`", ' | line_format "{{.x}}" | label_format a=b, c="{{.d}}" | drop e | keep v, k | unwrap v [5m] offset 1h)) / 2 > bool 1')
+    r = _t(spark, sf_dir, "events").select("event_id", logql_extract(e).alias("r"))
+    return r.select("event_id", *[F.array_join(f"r.{c}", ",").alias(n) for c, n in (("parsers", "parsers"), ("labelFilters", "filters"), ("functions", "functions"))], F.col("r.error").alias("error"))
+
+
+@query("SELECT event_id, 'rate' AS functions FROM events")
+def traceql_second_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """topk of a second stage is none of the functions."""
+    r = traceql_extract(cat("{ span.", "`event_type`", " = ", "`user_id`", " } | rate() by (resource.service.name) | topk(5)"))
+    return _t(spark, sf_dir, "events").select("event_id", F.array_join(r.getField("functions"), ",").alias("functions"))
+
+
+@query("SELECT event_id, event_type AS metric, 'user' AS label, '=' AS op, 'u' || user_id AS value, 'rate' AS functions FROM events")
+def promql_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registered function and table function, called from SQL."""
+    register(spark)
+    _t(spark, sf_dir, "events").createOrReplaceTempView("signalens_events")
+    return spark.sql("""SELECT event_id, s.metric, s.label, s.op, s.value, array_join(promql_extract(e).functions, ',') AS functions
+      FROM (SELECT event_id, concat('rate(', event_type, '{user="u', user_id, '"}[5m])') AS e FROM signalens_events), LATERAL promql_selectors(e) s""")
+
+
+@query("SELECT o_orderkey, 'orders_total' AS metric FROM orders")
+def expression_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expressions from text files, a line each, with empty lines between."""
+    folder = new_path(spark, "expressions")
+    _t(spark, sf_dir, "orders").select(F.explode(F.array(cat('orders_total{key="', "`o_orderkey`", '"}'), F.lit(""))).alias("value")).write.text(folder)
+    r = docs.expressions(spark, folder).select(promql_extract("expr").alias("r"))
+    return r.select(F.element_at("r.selectors", 1)["value"].cast("long").alias("o_orderkey"), F.element_at("r.metricRefs", 1).alias("metric"))
+
+
 # rule files and lint
 
-#: The table part as rules: a file a brand, a group a type; positions count from 0.
-RULES_SQL = """rules AS (SELECT p_partkey, p_brand || '.yaml' AS path, p_brand, p_type AS grp, p_name AS alert, p_size, p_retailprice,
-  dense_rank() OVER (PARTITION BY p_brand ORDER BY p_type) - 1 AS group_pos, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) - 1 AS rule_pos, dense_rank() OVER (ORDER BY p_brand) - 1 AS file_pos FROM part)"""
+#: The table part as rules: a file a brand and size, a group a type; positions count from 0.
+RULES_SQL = """rules AS (SELECT p_partkey, p_brand || '-' || p_size || '.yaml' AS path, p_brand, p_type AS grp, p_name AS alert, p_size, p_retailprice,
+  dense_rank() OVER (PARTITION BY p_brand, p_size ORDER BY p_type) - 1 AS group_pos, row_number() OVER (PARTITION BY p_brand, p_size, p_type ORDER BY p_partkey) - 1 AS rule_pos,
+  CAST(regexp_extract(p_brand, '[0-9]+') AS INTEGER) * 100 + p_size AS file_pos FROM part)"""
 
 
-def rule_files(spark: SparkSession, sf_dir: str, kind: str = "promql") -> DataFrame:
-    """Files as sources.documents.contents gives them, but written from the table part."""
+def rule_files(spark: SparkSession, sf_dir: str, kind: str = "promql", recording: bool = False) -> DataFrame:
+    """Files as sources.documents.contents gives them, but written from the table part. recording: rules of even parts record."""
     p = _t(spark, sf_dir, "part")
     expr = cat('rate(part_total{size="', "`p_size`", '"}[5m]) > 1') if kind == "promql" else cat('sum(rate({part="', "`p_size`", '"} |= "x" [5m])) > 1')
     rule = cat(
-        '  - alert: "', "`p_name`", "\"\n    expr: '", F.when(F.col("p_retailprice") < 950, "").otherwise(expr), "'\n    for: ", "`p_size`", "m\n    labels:\n      part: ", "`p_partkey`", "\n",
+        "  - ", F.when(F.lit(recording) & (F.col("p_partkey") % 2 == 0), "record").otherwise("alert"), ': "', "`p_name`", "\"\n    expr: '", F.when(F.col("p_retailprice") < 950, "").otherwise(expr), "'\n    for: ", "`p_size`", "m\n    labels:\n      part: ", "`p_partkey`", "\n",
         F.when(F.col("p_size") > 10, "      severity: page\n").otherwise(""), "    annotations:\n      summary: 'x'\n", F.when(F.col("p_retailprice") > 980, "      description: ' '\n").otherwise("      description: d\n"),
     )
-    groups = p.groupBy("p_brand", "p_type").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", rule.alias("y")))), lambda s: s["y"]), "").alias("y"))
-    groups = groups.select("p_brand", "p_type", cat('- name: "', "`p_type`", '"\n  interval: 20m\n  rules:\n', "`y`").alias("y"))
-    files = groups.groupBy("p_brand").agg(F.concat(F.lit("groups:\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_type", "y"))), lambda s: s["y"]), "")).alias("content"))
-    pos = (F.dense_rank().over(Window.orderBy("p_brand")) - 1).cast("int")
-    return files.select(F.lit(kind).alias("kind"), pos.alias("file_pos"), cat("`p_brand`", ".yaml").alias("path"), "content", F.lit(None).cast("string").alias("read_error"))
+    groups = p.groupBy("p_brand", "p_size", "p_type").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", rule.alias("y")))), lambda s: s["y"]), "").alias("y"))
+    groups = groups.select("p_brand", "p_size", "p_type", cat('- name: "', "`p_type`", '"\n  interval: 20m\n  rules:\n', "`y`").alias("y"))
+    files = groups.groupBy("p_brand", "p_size").agg(F.concat(F.lit("groups:\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_type", "y"))), lambda s: s["y"]), "")).alias("content"))
+    pos = (F.regexp_extract("p_brand", "[0-9]+", 0).cast("int") * 100 + F.col("p_size")).cast("int")
+    return files.select(F.lit(kind).alias("kind"), pos.alias("file_pos"), cat("`p_brand`", "-", "`p_size`", ".yaml").alias("path"), "content", F.lit(None).cast("string").alias("read_error"))
 
 
 def _flat(f: DataFrame) -> DataFrame:
     return f.select("code", "severity", "category", "source.file", "source.group", "source.rule", "message")
 
 
-def _rules(spark: SparkSession, sf_dir: str, kind: str = "promql") -> DataFrame:
-    return docs.rule_table(rule_files(spark, sf_dir, kind))
+def _rules(spark: SparkSession, sf_dir: str, kind: str = "promql", recording: bool = False) -> DataFrame:
+    return docs.rule_table(rule_files(spark, sf_dir, kind, recording))
 
 
 @query(f"""WITH {RULES_SQL} SELECT path, CAST(group_pos AS INTEGER) AS group_pos, CAST(rule_pos AS INTEGER) AS rule_pos, grp AS "group", '20m' AS "interval", alert AS rule, CAST(p_partkey AS VARCHAR) AS part, p_size || 'm' AS "for",
@@ -215,6 +291,22 @@ def lint_for_lt_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lint(spark, sf_dir, for_lt_interval="error")
 
 
+@query(f"""WITH {RULES_SQL} SELECT 'W402_EMPTY_EXPR' AS code, path AS file, grp AS "group", alert AS rule FROM rules WHERE p_retailprice < 950
+UNION ALL SELECT c, path, grp, alert FROM rules, (VALUES ('E301_MISSING_SEVERITY'), ('E302_MISSING_ANNOTATION'), ('W401_FOR_LT_INTERVAL')) t(c)
+WHERE p_partkey % 2 = 1 AND CASE c[:4] WHEN 'E301' THEN p_size <= 10 WHEN 'E302' THEN p_retailprice > 980 ELSE p_size < 20 END""")
+def lint_recording_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that record need neither severity nor annotations nor a wait, but an expression."""
+    found = fd.union(spark, lint.lint(_rules(spark, sf_dir, recording=True), lint.Config(duplicate_alerts=False)))
+    return _flat(found).select("code", "file", "group", "rule")
+
+
+@query(f"""WITH {RULES_SQL} SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN alert ELSE '' END AS record, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE alert END AS alert, alert AS rule FROM rules""")
+def rulefile_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule is called by its alert, else by what it records."""
+    r = docs.decoded_rules(rule_files(spark, sf_dir, recording=True)).withColumn("rule", F.coalesce(F.nullif("alert", F.lit("")), "record"))
+    return r.select(F.col("labels")["part"].cast("long").alias("p_partkey"), "record", "alert", "rule")
+
+
 DUPLICATE_SQL = "SELECT *, row_number() OVER w AS nth, first_value(path) OVER w AS fp, first_value(grp) OVER w AS fg FROM rules WINDOW w AS (PARTITION BY alert ORDER BY file_pos, group_pos, rule_pos)"
 
 
@@ -390,6 +482,26 @@ def prewarm_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.work_list(m, s, st)
 
 
+@query("""SELECT kind, n_name || '*' AS metric_pat, CASE WHEN kind <> 'metrics' THEN 'l' || n_regionkey END AS label_pat, CASE kind WHEN 'values' THEN 'v' || n_nationkey || '*' END AS value_pat, 'r: ' || n_name AS reason
+FROM nation, (VALUES ('metrics'), ('labels'), ('values')) t(kind)""")
+def allowlist_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An allowlist file with an entry of each kind a nation, and entries that lack what they need."""
+    names = sorted((r.n_nationkey, r.n_regionkey, r.n_name) for r in _t(spark, sf_dir, "nation").collect())  # one file, parsed on the driver
+    text = "metrics:\n- reason: no pattern\n" + "".join(f"- {{pattern: '{n}*', reason: 'r: {n}'}}\n" for _, _, n in names)
+    text += "labels:\n- {patterns: [x], reason: no metric}\n" + "".join(f"- {{metric: '{n}*', patterns: [l{r}], reason: 'r: {n}'}}\n" for _, r, n in names)
+    text += "label_values:\n- {metric: m, patterns: [x]}\n" + "".join(f"- {{metric: '{n}*', label: l{r}, patterns: ['v{k}*'], reason: 'r: {n}'}}\n" for k, r, n in names)
+    none = F.lit(None).cast("string")
+    m, lb, v = allowlist.parse(text).tables(spark)
+    parts = (m.select(F.lit("metrics").alias("kind"), "metric_pat", none.alias("label_pat"), none.alias("value_pat"), "reason"), lb.select(F.lit("labels").alias("kind"), "metric_pat", "label_pat", none.alias("value_pat"), "reason"), v.select(F.lit("values").alias("kind"), "metric_pat", "label_pat", "value_pat", "reason"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("""SELECT c_custkey, '"c' || c_custkey || chr(92) || 'x01' || chr(92) || 'u00a0' || chr(92) || 't' || chr(92) || chr(92) || chr(92) || '"é"' AS quoted FROM customer""")
+def quoted_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names as messages show them: what cannot be seen is escaped."""
+    return _t(spark, sf_dir, "customer").select("c_custkey", R.quoted(cat("c", "`c_custkey`", '\x01\u00a0\t\\"é')).alias("quoted"))
+
+
 # findings and reports
 
 ALL_LINT_SQL = f"""{RULES_SQL}, d AS ({DUPLICATE_SQL}), found AS (
@@ -407,8 +519,7 @@ def _all_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {ALL_LINT_SQL} SELECT row_number() OVER (ORDER BY file, grp, rule, code, message, seq) AS position, code, file, grp AS "group", rule, message FROM found""")
 def findings_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The position of each finding in a report."""
-    w = Window.orderBy(*fd.SORT_KEYS, "seq")
-    return _all_lint(spark, sf_dir).select(F.row_number().over(w).cast("long").alias("position"), "code", "source.file", "source.group", "source.rule", "message")
+    return fd.positions(_all_lint(spark, sf_dir)).select("position", "code", "source.file", "source.group", "source.rule", "message")
 
 
 @query(f"WITH {ALL_LINT_SQL} SELECT code, severity, category, count(*) AS n FROM found GROUP BY ALL")
@@ -426,7 +537,7 @@ def run_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fd.verdict(_all_lint(spark, sf_dir))
 
 
-@query("SELECT 'promql' AS kind, count(DISTINCT p_brand) AS n FROM part UNION ALL SELECT 'logql', 0 UNION ALL SELECT 'dashboard', count(DISTINCT c_nationkey) FROM customer")
+@query("SELECT 'promql' AS kind, count(DISTINCT (p_brand, p_size)) AS n FROM part UNION ALL SELECT 'logql', 0 UNION ALL SELECT 'dashboard', count(DISTINCT c_nationkey) FROM customer")
 def files_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fd.files_by_kind(rule_files(spark, sf_dir).select("kind", "path").unionByName(dashboard_files(spark, sf_dir).select("kind", "path")))
 
@@ -461,11 +572,19 @@ def report_sarif_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.sarif_rules(_all_lint(spark, sf_dir))
 
 
-@query(f"""WITH {ALL_LINT_SQL}, {PANELS_SQL},
+#: Lint findings of the rules as metric rules and, in the folder logs, as log rules, which are duplicates one and all.
+BOTH_SQL = ALL_LINT_SQL + """, both_kinds AS (SELECT * EXCLUDE (seq) FROM found
+UNION ALL SELECT code, severity, category, 'logs/' || file, grp, rule, message FROM found WHERE code NOT LIKE 'E303%'
+UNION ALL SELECT 'E303_DUPLICATE_ALERT', 'error', 'lint', 'logs/' || path, grp, alert, 'alert name `' || alert || '` is also defined at ' || fp || ':' || fg FROM d)"""
+
+
+@query(f"""WITH {BOTH_SQL}, {PANELS_SQL},
 refs AS (SELECT path, grp, alert AS rule, '' AS panel, 'size' AS label FROM rules WHERE p_retailprice >= 950),
 cust AS (SELECT path, c_name || '/A' AS panel FROM panels WHERE c_mktsegment NOT IN ('AUTOMOBILE', 'MACHINERY')),
 vars AS (SELECT DISTINCT path, 'var=job' AS panel FROM panels)
-SELECT code, severity, category, file, grp AS "group", rule, '' AS panel, message FROM found
+SELECT code, severity, category, file, grp AS "group", rule, '' AS panel, message FROM both_kinds
+UNION ALL SELECT 'E002_LOGQL_PARSE_ERROR', 'error', 'parse', 'logs/' || path, grp, alert, '', 'LogQL parse error: empty expression' FROM rules WHERE p_retailprice < 950
+UNION ALL SELECT 'E201_STREAM_LABEL_UNKNOWN', 'error', 'catalog', 'logs/' || path, grp, alert, '', 'stream label "part" not present in Loki' FROM rules WHERE p_retailprice >= 950
 UNION ALL SELECT 'E001_PROMQL_PARSE_ERROR', 'error', 'parse', path, grp, alert, '', 'PromQL parse error: empty expression' FROM rules WHERE p_retailprice < 950
 UNION ALL SELECT 'E102_LABEL_UNKNOWN', 'error', 'catalog', path, grp, rule, '', 'label "size" not present on metric "part_total"' FROM refs
 UNION ALL SELECT 'E101_METRIC_UNKNOWN', 'error', 'catalog', path, '', '', panel, 'metric "cust_total" not present in catalog' FROM cust
@@ -473,11 +592,68 @@ UNION ALL SELECT 'E101_METRIC_UNKNOWN', 'error', 'catalog', path, '', '', panel,
 UNION ALL SELECT 'E201_STREAM_LABEL_UNKNOWN', 'error', 'catalog', path, '', '', c_name || '/A', 'stream label "cust" not present in Loki' FROM panels WHERE c_mktsegment IN ('AUTOMOBILE', 'MACHINERY')
 UNION ALL SELECT 'E202_STREAM_VALUE_UNKNOWN', 'error', 'catalog', path, '', '', c_name || '/A', 'value "__dashboard_var__" not observed for stream label "app"' FROM panels WHERE c_mktsegment IN ('AUTOMOBILE', 'MACHINERY')""")
 def validate_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rule files and dashboards through parsing, linting and catalog checks; findings with their place."""
-    rules, items = _rules(spark, sf_dir).persist(), _items(spark, sf_dir).persist()
+    """Rule files of both languages and dashboards through parsing, linting and catalog checks; findings with their place."""
+    rules = _rules(spark, sf_dir).unionByName(_rules(spark, sf_dir, "logql"))
+    rules, items = written(rules.withColumn("path", F.when(F.col("kind") == "logql", F.concat(F.lit("logs/"), "path")).otherwise(F.col("path"))), "rules"), written(_items(spark, sf_dir), "items")
     tables = Tables(
         spark.createDataFrame([("part_total",)], "metric string"), spark.createDataFrame([("part_total", "brand")], "metric string, label string"), spark.createDataFrame([("part_total", "brand", "x")], "metric string, label string, value string"),
         spark.createDataFrame([("app",)], "label string"), spark.createDataFrame([("app", "api")], "label string, value string"),
     )
     parts = parse_findings(rules, items) + lint.lint(rules) + checks.check_promql(extracted(rules, items, "promql"), tables, Allowlist()) + checks.check_logql(extracted(rules, items, "logql"), tables, Allowlist())
     return fd.union(spark, parts).select("code", "severity", "category", "source.file", "source.group", "source.rule", "source.panel", "message")
+
+
+DOCUMENTS_SQL = f"""WITH {ALL_LINT_SQL}, f AS (SELECT *, row_number() OVER (ORDER BY file, grp, rule, code, message, seq) AS k FROM found),
+label AS (SELECT *, CASE code WHEN 'E302_MISSING_ANNOTATION' THEN chr(10) || '        "label": "description"' || chr(10) || '      ' ELSE '' END AS lab FROM f),
+suite AS (SELECT file, '  <testsuite name="' || file || '" tests="' || count(*) || '" failures="' || count(*) || '" skipped="0">' || chr(10) ||
+  string_agg('    <testcase name="' || grp || '/' || rule || '/' || code || '" classname="lint">' || chr(10) || '      <failure type="' || code || '" message="' || message || '"></failure>' || chr(10) || '    </testcase>' || chr(10), '' ORDER BY k) || '  </testsuite>' || chr(10) AS x FROM f GROUP BY file),
+rule AS (SELECT DISTINCT code, CASE code[1] WHEN 'E' THEN 'error' ELSE 'warning' END AS lev FROM f)
+SELECT 'json' AS format, '{{' || chr(10) || '  "schemaVersion": 1,' || chr(10) || '  "tool": "signalens",' || chr(10) || '  "generatedAt": "2024-05-06T07:08:09Z",' || chr(10) || '  "filesScanned": 7,' || chr(10) || '  "findings": [' || chr(10) ||
+  (SELECT string_agg('    {{' || chr(10) || '      "code": "' || code || '",' || chr(10) || '      "severity": "' || severity || '",' || chr(10) || '      "category": "lint",' || chr(10) || '      "source": {{' || chr(10) ||
+  '        "file": "' || file || '",' || chr(10) || '        "group": "' || grp || '",' || chr(10) || '        "rule": "' || rule || '"' || chr(10) || '      }},' || chr(10) || '      "message": "' || message || '",' || chr(10) || '      "context": {{' || lab || '}}' || chr(10) || '    }}', ',' || chr(10) ORDER BY k) FROM label) || chr(10) || '  ]' || chr(10) || '}}' || chr(10) AS text
+UNION ALL SELECT 'junit', '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<testsuites name="signalens">' || chr(10) || (SELECT string_agg(x, '' ORDER BY file) FROM suite) || '</testsuites>' || chr(10)
+UNION ALL SELECT 'sarif', '{{' || chr(10) || '  "$schema": "https://json.schemastore.org/sarif-2.1.0.json",' || chr(10) || '  "version": "2.1.0",' || chr(10) || '  "runs": [' || chr(10) || '    {{' || chr(10) || '      "tool": {{' || chr(10) || '        "driver": {{' || chr(10) || '          "name": "signalens",' || chr(10) || '          "rules": [' || chr(10) ||
+  (SELECT string_agg('            {{' || chr(10) || '              "id": "' || code || '",' || chr(10) || '              "name": "' || code || '",' || chr(10) || '              "properties": {{' || chr(10) || '                "defaultSeverity": "' || lev || '"' || chr(10) || '              }}' || chr(10) || '            }}', ',' || chr(10) ORDER BY code) FROM rule) ||
+  chr(10) || '          ]' || chr(10) || '        }}' || chr(10) || '      }},' || chr(10) || '      "results": [' || chr(10) ||
+  (SELECT string_agg('        {{' || chr(10) || '          "ruleId": "' || code || '",' || chr(10) || '          "level": "' || severity || '",' || chr(10) || '          "message": {{' || chr(10) || '            "text": "' || message || '"' || chr(10) || '          }},' || chr(10) || '          "locations": [' || chr(10) || '            {{' || chr(10) || '              "physicalLocation": {{' || chr(10) ||
+  '                "artifactLocation": {{' || chr(10) || '                  "uri": "' || file || '"' || chr(10) || '                }}' || chr(10) || '              }}' || chr(10) || '            }}' || chr(10) || '          ]' || chr(10) || '        }}', ',' || chr(10) ORDER BY k) FROM f) ||
+  chr(10) || '      ]' || chr(10) || '    }}' || chr(10) || '  ]' || chr(10) || '}}' || chr(10)"""
+
+
+@query(DOCUMENTS_SQL)
+def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole texts of the reports that are one document."""
+    found, at = fd.ordered(written(_all_lint(spark, sf_dir), "findings")), datetime(2024, 5, 6, 7, 8, 9, tzinfo=timezone.utc)
+    return spark.createDataFrame([(f, report.render(found, f, 7, at)) for f in ("json", "junit", "sarif")], "format string, text string")
+
+
+@query("""WITH f AS (SELECT DISTINCT p_brand, p_size FROM part), c AS (SELECT DISTINCT c_nationkey AS k FROM customer)
+SELECT CASE WHEN p_size % 5 = 0 THEN 'E003_RULEFILE_YAML_INVALID' ELSE 'W402_EMPTY_EXPR' END AS code, CASE WHEN p_size % 3 = 0 THEN 'more/' ELSE '' END || p_brand || '-' || p_size || CASE WHEN p_size % 2 = 0 THEN '.YML' ELSE '.yaml' END AS file, 'promql' AS kind FROM f WHERE p_size % 7 <> 0
+UNION ALL SELECT 'E004_DASHBOARD_JSON_INVALID', 'n' || k || '.json', 'dashboard' FROM c WHERE k % 2 = 0
+UNION ALL SELECT 'E101_METRIC_UNKNOWN', 'n' || k || '.json', 'dashboard' FROM c WHERE k % 2 = 1
+UNION ALL SELECT 'scanned', CAST((SELECT count(*) FROM f WHERE p_size % 7 <> 0) AS VARCHAR), 'promql' UNION ALL SELECT 'scanned', CAST((SELECT count(*) FROM c) AS VARCHAR), 'dashboard' UNION ALL SELECT 'scanned', '0', 'logql'""")
+def validate_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files in directories, written first: nested, hidden and foreign ones, some that cannot be decoded; found, read and validated."""
+    root = written(spark.range(1), "root").inputFiles()[0].removeprefix("file://").rpartition("/")[0] + "/files"
+    rules = _t(spark, sf_dir, "part").select("p_brand", "p_size").distinct()
+    size, name = F.col("p_size"), cat("`p_brand`", "-", "`p_size`", F.when(F.col("p_size") % 2 == 0, ".YML").otherwise(".yaml"))
+    path = F.concat(F.when(size % 7 == 0, F.when(size % 2 == 0, "rules/.hidden/").otherwise("rules/.")).when(size % 3 == 0, "rules/more/").otherwise("rules/"), name)
+    body = F.when(size % 5 == 0, "groups: [}").otherwise(cat("groups:\n- name: g\n  rules:\n  - record: r", "`p_size`", "\n    expr: ' '\n"))
+    boards = _t(spark, sf_dir, "customer").select("c_nationkey").distinct()
+    board = F.when(F.col("c_nationkey") % 2 == 0, '{"panels": {}}').otherwise('{"panels": [{"title": "t", "targets": [{"refId": "A", "expr": "nope"}]}]}')
+    files = rules.select(path.alias("path"), body.alias("body")).unionByName(rules.select(F.concat(F.lit("rules/"), "p_brand", F.lit(".txt")).alias("path"), F.lit("groups: [}").alias("body")).distinct())
+    files = files.unionByName(boards.select(cat("boards/n", "`c_nationkey`", ".json").alias("path"), board.alias("body")))
+
+    def put(frames):
+        for df in frames:
+            for p, b in zip(df.path, df.body, strict=True):
+                os.makedirs(os.path.dirname(f"{root}/{p}"), exist_ok=True)
+                with open(f"{root}/{p}", "w", encoding="utf-8") as f:
+                    f.write(b)
+            yield df[["path"]]
+
+    files.mapInPandas(put, "path string").count()
+    catalog = Tables(spark.createDataFrame([("up",)], "metric string"), spark.createDataFrame([], "metric string, label string"), spark.createDataFrame([], "metric string, label string, value string"))
+    r = validate(spark, Inputs([f"{root}/rules"], [], [f"{root}/boards"]), Settings(catalog=catalog))
+    found = r.findings.where("code <> 'E001_PROMQL_PARSE_ERROR'").select("code", F.regexp_replace("source.file", r"^.*/files/(rules|boards)/", "").alias("file"), F.when(F.col("source.file").contains("/boards/"), "dashboard").otherwise("promql").alias("kind"))
+    return found.unionByName(spark.createDataFrame([("scanned", str(n), k) for k, n in r.files_by_kind.items()], "code string, file string, kind string"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from signalens.operators import checks, lint
 from signalens.operators import findings as f
+from signalens.operators.tables import written
 from signalens.sources import documents as docs
 from signalens.sources.allowlist import Allowlist
 from signalens.sources.catalog import Catalog, Tables
@@ -70,11 +71,11 @@ def extracted(rules: DataFrame, items: DataFrame, lang: str) -> DataFrame:
 
 
 def validate(spark: SparkSession, inputs: Inputs, settings: Settings | None = None) -> Result:
-    """One full pass. Documents are read and parsed once: rules and items are cached for the several checks that use them."""
+    """One full pass. Documents are read and parsed once: rules and items are written for the several checks that use them."""
     settings = settings or Settings()
     paths = docs.path_table(spark, inputs.prometheus_rules, inputs.loki_rules, inputs.dashboards)
     files = docs.contents(paths)
-    rules, items = docs.rule_table(files).persist(), docs.dashboard_table(files).persist()
+    rules, items = written(docs.rule_table(files), "rules"), written(docs.dashboard_table(files), "items")
     parts = parse_findings(rules, items)
     if settings.lint is not None:
         parts += lint.lint(rules, settings.lint)

@@ -83,5 +83,5 @@ def decode(content: str) -> dict:
     for v in _objects(templating, "list"):
         name, kind, query = _typed(v, "name", str, ""), _typed(v, "type", str, ""), variable_query(_get(v, "query"))
         if kind in ("", "query") and query:
-            variables.append({"name": name, "datasource": datasource_type(_get(v, "datasource")), "query": query})
+            variables.append({"name": name, "type": kind, "datasource": datasource_type(_get(v, "datasource")), "query": query})
     return {"title": _typed(doc, "title", str, ""), "uid": _typed(doc, "uid", str, ""), "panels": panels, "variables": variables}

@@ -129,6 +129,47 @@ def test_reports(three):
         report.render(three, "nope")
 
 
+def test_reports_in_parts(spark, three, tmp_path):
+    import glob
+
+    for fmt in report.ROWS:
+        text, found = report.rendered(three, fmt)
+        assert text == report.render(three, fmt) and found == report.collected(three)
+        report.write(three.orderBy("code"), fmt, f"file://{tmp_path}/{fmt}")
+        parts = "".join(open(f, encoding="utf-8").read() for f in sorted(glob.glob(f"{tmp_path}/{fmt}/part-*")))
+        assert parts.rstrip("\n") == text.rstrip("\n")
+    with pytest.raises(ValueError):
+        report.write(three, "sarif", str(tmp_path))
+
+
+def test_numbering_without_one_task_for_all(spark):
+    from signalens.operators.tables import numbered
+
+    df = spark.range(5000).selectExpr("(id * 7919) % 5000 AS id", "id % 3 AS k").repartition(7)
+    got = numbered(df, "k", "id").collect()
+    assert [r.position for r in sorted(got, key=lambda r: (r.k, r.id))] == list(range(1, 5001))
+    assert numbered(df.where("false"), "id").count() == 0
+
+
+def test_quoted(spark):
+    from pyspark.sql import functions as F
+
+    from signalens.functions import rules as R
+
+    cases = {'a"b\\c': r'"a\"b\\c"', "\a\b\f\n\r\t\v": r'"\a\b\f\n\r\t\v"', "é 日本 😀": '"é 日本 😀"', "\x00\x7f": r'"\x00\x7f"', "\u00a0\u200b\ufeff": r'"\u00a0\u200b\ufeff"', "\U000e0001": r'"\U000e0001"', "": '""'}
+    df = spark.createDataFrame(list(cases.items()), "c string, want string")
+    assert [(r.got, r.want) for r in df.select(R.quoted(F.col("c")).alias("got"), "want").collect() if r.got != r.want] == []
+
+
+def test_allowlists_have_a_bound(monkeypatch):
+    from signalens.sources import allowlist
+
+    monkeypatch.setattr(allowlist, "MOST", 2)
+    allowlist.Allowlist([("a", ""), ("b", "")])
+    with pytest.raises(ValueError):
+        allowlist.Allowlist([("a", ""), ("b", ""), ("c", "")])
+
+
 def test_sql_functions(spark):
     register(spark)
     assert spark.sql("""SELECT promql_extract('rate(a{b="c"}[5m])').functions[0]""").first()[0] == "rate"

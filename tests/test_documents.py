@@ -53,7 +53,7 @@ def _dashboard():
 def test_dashboard_decoding():
     d = D.decode(json.dumps(_dashboard()))
     assert [(p["id"], p["datasource"], [t["datasource"] for t in p["targets"]]) for p in d["panels"]] == [(1, "loki", ["loki"]), (2, "loki", ["prometheus"]), (3, "", [""])]
-    assert d["variables"] == [{"name": "v", "datasource": "prometheus", "query": "label_values(up, job)"}]
+    assert d["variables"] == [{"name": "v", "type": "query", "datasource": "prometheus", "query": "label_values(up, job)"}]
     for bad in ("[", '{"panels": [{"id": "3"}]}', '{"panels": [{"targets": [{"query": {}}]}]}', '{"x": NaN}', "[]"):
         with pytest.raises(D.DashboardError):
             D.decode(bad)
