@@ -20,15 +20,18 @@ def source_rates(docs: DataFrame, weights: dict[str, float], default_weight: flo
 
     rate = weight x target tokens / (sum of the weights of sources that have tokens x the source's tokens). Sources without
     a weight get ``default_weight``; the target defaults to the tokens there are. A null source is a source of its own. A
-    null text has no tokens. A source without tokens has rate 0: nothing can bring it to its share.
+    null text has no tokens. A source without tokens has rate 0: nothing can bring it to its share. If all weights are zero,
+    so are all rates. Weights that are negative or not finite raise ValueError.
     """
+    if bad := {k: w for k, w in {**weights, "(default)": default_weight}.items() if not 0 <= w < float("inf")}:
+        raise ValueError(f"weights must be finite and not negative: {bad}")
     per = docs.select(_io.column(docs, source_col).alias("source"), F.coalesce(F.regexp_count(_io.column(docs, text_col), F.lit(TOKEN)), F.lit(0)).cast("long").alias("n")).groupBy("source").agg(F.sum("n").alias("n_tokens"))
     known = F.create_map(*[F.lit(x) for kv in sorted(weights.items()) for x in kv]) if weights else None
     weight = F.lit(float(default_weight)) if known is None else F.coalesce(F.try_element_at(known, F.coalesce("source", F.lit(""))), F.lit(float(default_weight)))
     per = per.withColumn("weight", F.when(F.col("n_tokens") > 0, F.when(F.col("source").isNull(), F.lit(float(default_weight))).otherwise(weight)).otherwise(0.0))
     total = per.agg(F.sum("weight").alias("weights"), F.sum("n_tokens").alias("tokens"))
     target = F.col("tokens") if target_tokens is None else F.lit(int(target_tokens))
-    rate = F.when(F.col("n_tokens") > 0, F.col("weight") * target.cast("double") / (F.col("weights") * F.col("n_tokens"))).otherwise(0.0)
+    rate = F.when((F.col("n_tokens") > 0) & (F.col("weights") > 0), F.col("weight") * target.cast("double") / (F.col("weights") * F.col("n_tokens"))).otherwise(0.0)
     return per.crossJoin(total).select("source", "n_tokens", rate.alias("rate"))
 
 
@@ -43,7 +46,7 @@ def mix(docs: DataFrame, weights: dict[str, float], default_weight: float = 1.0,
     The draw is a hash of the identifier and the seed, so a rerun or a lost executor changes nothing and repeated rows are
     repeated alike; where the identifier is null it is a hash of the text. Columns are those of docs plus ``copy_col`` (1,
     2, ... within a document; an input column of that name is replaced; None: no such column). Null and empty texts count
-    no tokens and follow the rate of their source. An empty table gives an empty table.
+    no tokens and follow the rate of their source. An empty table, and weights that are all zero, give no rows.
     """
     rates = _io.written(source_rates(docs, weights, default_weight, target_tokens, source_col=source_col, text_col=text_col), "rates").select(F.col("source").alias("_s"), F.col("rate").alias("_r"))
     if _io.is_small(rates, broadcast_bytes):

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -40,6 +41,10 @@ def test_mixing_meets_weights(spark):
     assert abs(n["x"] - 2000) < 120 and n["y"] == 2000
     assert mixing.mix(empty(spark), {}).count() == 0
     assert mixing.mix(docs.where("source = 'y'"), {}, target_tokens=8000).count() == 800
+    assert mixing.mix(docs, {"x": 0.0}, 0.0).count() == 0 and {r.source for r in mixing.mix(docs, {"x": 0.0}).collect()} == {"y"}
+    for w in (-1.0, math.nan, math.inf):
+        with pytest.raises(ValueError, match="weights"):
+            mixing.mix(docs, {"x": w})
 
 
 def test_rules(spark):
@@ -48,7 +53,18 @@ def test_rules(spark):
     }
     got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
     assert {k for k, r in got.items() if r["keep"]} == {1, 5, 12}
-    assert got[2].failed == got[3].failed == got[4].failed == "words" and got[11].failed == "capitals" and "repeated_lines" in got[8].failed and "symbols" in got[7].failed and "distinct_words" in got[9].failed
+    assert got[2].failed == got[3].failed == got[4].failed == "words" and got[11].failed == "capitals" and "repeated_lines" in got[8].failed and "symbols" in got[7].failed and "vocabulary" in got[9].failed
+
+
+def test_vocabulary_of_texts_of_any_length(spark):
+    """A passage of 250 distinct words is prose once and no more so eighty times over; a long text of many words is."""
+    r = random.Random(2)
+    passage = [f"{a}{b}" for a in "bcdfghklmnprst" for b in ("ala", "enu", "iro", "ota", "una", "alt", "ent", "irn", "ost", "umb", "ari", "eno", "ilu", "ora", "ust", "ang", "elm", "ink")][:250]
+    names = [f"n{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(8000)]
+    long = " ".join(names[min(7999, int(r.paretovariate(0.7)))] + (" the" if k % 9 == 0 else "") for k in range(300_000))
+    docs = [(1, "the " + " ".join(passage)), (2, " ".join(("the " + " ".join(passage[k % 5 :])) for k in range(80))), (3, long)]
+    got = {x.doc_id: x for x in quality_rules.judge(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert "vocabulary" not in got[1].failed and "vocabulary" in got[2].failed and "vocabulary" not in got[3].failed and got[3].n_words > 300_000
 
 
 def test_rules_on_awkward_rows(spark):
