@@ -1,7 +1,9 @@
 """Quality rules: a table of thresholds compiled into one projection, without user functions.
 
 A measure is an expression over a few shared ones; a rule is (name, measure, least, most, fewest words from which it
-applies). Catalyst evaluates everything in one pass over the text, without a shuffle.
+applies, where fewer would make the measure meaningless). Vocabulary is Guiraud's index, distinct words by the root of all
+words: since a vocabulary grows about as that root does, one threshold serves texts of any length. Catalyst evaluates
+everything in one pass over the text, without a shuffle.
 """
 
 from __future__ import annotations
@@ -19,8 +21,6 @@ STOP_WORDS = (
 )
 SYMBOLS = "#$%&*!|<>{}[]\\^~=+@_"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ"
-#: Distinct words are taken as a share of the words, but of so many at most: vocabulary grows more slowly than a text.
-DISTINCT_OF = 1000
 BREAKS = r"[ \t\n\r\f\x0B.,;:!?]+"
 
 
@@ -39,7 +39,7 @@ RULES = (
     Rule("symbols", "symbols", most=0.08, from_words=4),
     Rule("capitals", "capitals", most=0.35, from_words=10),
     Rule("stop_words", "stop_words", least=0.02, from_words=60),
-    Rule("distinct_words", "distinct_words", least=0.2, from_words=30),
+    Rule("vocabulary", "vocabulary", least=3, from_words=30),
     Rule("repeated_lines", "repeated_lines", most=0.5, from_words=8),
 )
 
@@ -64,7 +64,7 @@ def _measures(text: Column) -> tuple[list[tuple[str, Column]], dict[str, Column]
         "symbols": ratio(F.col("_sym"), F.col("_len")),
         "capitals": ratio(F.col("_cap"), F.col("_len")),
         "stop_words": ratio(F.col("_stop"), words),
-        "distinct_words": ratio(F.size(F.array_distinct("_words")), F.least(words, F.lit(DISTINCT_OF))),
+        "vocabulary": ratio(F.size(F.array_distinct("_words")), F.sqrt(words.cast("double"))),
         "repeated_lines": ratio(F.size("_lines") - F.size(F.array_distinct("_lines")), F.size("_lines")),
     }
 
@@ -119,7 +119,7 @@ b AS (SELECT doc_id, ' ' || regexp_replace(lower(t), '{BREAKS}', '  ', 'g') || '
 c AS (SELECT *, list_filter(string_split(trim(pad, ' '), '  '), lambda x: x <> '') AS words, len(regexp_extract_all(pad, ' ({'|'.join(STOP_WORDS)}) ')) AS stop FROM b),
 d AS (SELECT doc_id, len(words)::DOUBLE AS m_words, CASE WHEN len(words) > 0 THEN len::DOUBLE / len(words) ELSE 0 END AS m_word_length,
   CASE WHEN len > 0 THEN sym::DOUBLE / len ELSE 0 END AS m_symbols, CASE WHEN len > 0 THEN cap::DOUBLE / len ELSE 0 END AS m_capitals,
-  CASE WHEN len(words) > 0 THEN stop::DOUBLE / len(words) ELSE 0 END AS m_stop_words, CASE WHEN len(words) > 0 THEN len(list_distinct(words))::DOUBLE / least(len(words), {DISTINCT_OF}) ELSE 0 END AS m_distinct_words,
+  CASE WHEN len(words) > 0 THEN stop::DOUBLE / len(words) ELSE 0 END AS m_stop_words, CASE WHEN len(words) > 0 THEN len(list_distinct(words))::DOUBLE / sqrt(len(words)) ELSE 0 END AS m_vocabulary,
   CASE WHEN len(lines) > 0 THEN (len(lines) - len(list_distinct(lines)))::DOUBLE / len(lines) ELSE 0 END AS m_repeated_lines FROM c),
 e AS (SELECT doc_id, m_words::BIGINT AS n_words, concat_ws(',', {', '.join(cond)}) AS failed FROM d)
 SELECT doc_id, n_words, failed, failed = '' AS keep FROM e"""
