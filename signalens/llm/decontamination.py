@@ -23,6 +23,8 @@ K, WINDOW = 5, 4
 #: Bytes of benchmark text that go to the workers at once.
 BLOCK_BYTES = 16 << 20
 _BITS = 20
+#: Hits that are held at once.
+HITS = 1 << 21
 
 
 def fingerprints(g: np.ndarray, window: int) -> np.ndarray:
@@ -89,29 +91,38 @@ def matches(block: Block, texts: list[str | None], least: int, k: int = K, windo
         g = np.where(ok, g, np.uint64(0xFFFFFFFFFFFFFFFF))
         at = np.flatnonzero(fingerprints(g, window) & ok & block.bits[(g >> np.uint64(64 - _BITS)).astype(np.int64)])
         lo, hi = np.searchsorted(block.prints, g[at], "left"), np.searchsorted(block.prints, g[at], "right")
-        some = hi > lo
-        done: dict[tuple[int, int, int], int] = {}
-        for p, x, y in zip(at[some].tolist(), lo[some].tolist(), hi[some].tolist(), strict=True):
-            t = int(np.searchsorted(off, p, "right")) - 1
-            a, b = int(off[t]), int(off[t + 1])
-            for q in block.places[x:y].tolist():
-                item = int(np.searchsorted(block.offsets, q, "right")) - 1
-                diagonal = (t, item, p - q)
-                if done.get(diagonal, -1) >= p:
-                    continue
-                c, d = int(block.offsets[item]), int(block.offsets[item + 1])
-                back = min(p - a, q - c)
-                left = _same(h[p - back : p][::-1], block.words[q - back : q][::-1])
-                ahead = min(b - p, d - q)
-                right = _same(h[p : p + ahead], block.words[q : q + ahead])
-                done[diagonal] = p + right - 1
-                if left + right >= least:
-                    yield first + t, item, int(start[p - left]), int(end[p + right - 1]), q - left - c, left + right
-
-
-def _same(x: np.ndarray, y: np.ndarray) -> int:
-    differ = np.flatnonzero(x != y)
-    return int(differ[0]) if len(differ) else len(x)
+        for t, item, diagonal in _diagonals(at, lo, hi, block, off):
+            a, b, c, d = int(off[t]), int(off[t + 1]), int(block.offsets[item]), int(block.offsets[item + 1])
+            p, q = max(a, c + diagonal), min(b, d + diagonal)
+            same = h[p:q] == block.words[p - diagonal : q - diagonal]
+            edge = np.flatnonzero(np.diff(same.view(np.int8), prepend=0, append=0))
+            for x, y in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                if y - x >= least:
+                    yield first + t, item, int(start[p + x]), int(end[p + y - 1]), p + x - diagonal - c, y - x
+
+
+def _diagonals(at: np.ndarray, lo: np.ndarray, hi: np.ndarray, block: Block, off: np.ndarray) -> list[tuple[int, int, int]]:
+    """(text, item, place in the texts less place in the block) of the fingerprints at ``at``, which are block.prints[lo:hi], without
+    repetitions: texts that repeat themselves have many hits, but each of their diagonals is looked at once."""
+    some = np.flatnonzero(hi > lo)
+    n = np.cumsum(hi[some] - lo[some])
+    items, span = len(block.offsets), int(off[-1]) + len(block.words) + 1  # texts x items x span is far below 2^63: a block and a group of texts are small
+    out: np.ndarray | None = None
+    i = 0
+    while i < len(some):
+        j = max(i + 1, int(np.searchsorted(n, (n[i - 1] if i else 0) + HITS, "right")))
+        x = some[i:j]
+        each = hi[x] - lo[x]
+        p = np.repeat(at[x], each)
+        q = block.places[np.repeat(lo[x] - np.concatenate([[0], np.cumsum(each)[:-1]]), each) + np.arange(int(each.sum()))]
+        text, item = np.searchsorted(off, p, "right") - 1, np.searchsorted(block.offsets, q, "right") - 1
+        new = np.unique((text * items + item) * span + (p - q + len(block.words)))
+        out = new if out is None else np.union1d(out, new)
+        i = j
+    if out is None:
+        return []
+    pair, diagonal = np.divmod(out, span)
+    return list(zip((pair // items).tolist(), (pair % items).tolist(), (diagonal - len(block.words)).tolist(), strict=True))
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int, k: int, window: int) -> Iterator[Block]:

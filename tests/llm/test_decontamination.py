@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -69,6 +70,23 @@ def test_awkward_rows(spark):
     assert D.find(docs, items.where("false")).count() == 0 and D.remove(docs, items.where("false")).count() == docs.count()
 
 
+@pytest.mark.parametrize("hits", [D.HITS, 5])
+def test_texts_that_repeat_themselves(monkeypatch, hits):
+    monkeypatch.setattr(D, "HITS", hits)
+    docs = ["yes " * 70, "a b c " * 30 + "x " + "a b c d " * 9, "a b c d e f g h i j " * 3, "no " * 7, None]
+    items = ["yes " * 40, "a b c " * 20, "b c d e f g h i j a b", "no " * 20, "", None]
+    block = D.index(list(range(len(items))), items)
+    got = [(t, i, w, n, s) for t, i, s, _, w, n in D.matches(block, docs, 8)]
+    want = {(t, i, b, n) for t, x in enumerate(docs) for i, y in enumerate(items) for _, b, n in spans(x, y, 8)}
+    assert {g[:4] for g in got} == want and len(got) == len(set(got)) == sum(len(spans(x, y, 8)) for x in docs for y in items)
+
+
+def test_time_of_texts_that_repeat_themselves():
+    block, began = D.index([1], ["yes " * 400]), time.perf_counter()
+    assert sum(1 for _ in D.matches(block, ["yes " * 16000], 8)) == 16000 + 400 - 1 - 2 * 7
+    assert time.perf_counter() - began < 5
+
+
 def test_fingerprints_guarantee():
     r = np.random.default_rng(1)
     for n in range(0, 30):
