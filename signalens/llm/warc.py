@@ -23,13 +23,13 @@ from pyspark.sql import functions as F
 from signalens.llm import _io
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
-INDEX = "bundle string, frame long, frame_start long, frame_bytes long, offset long, length long"
+INDEX = "record_id string, bundle string, frame long, frame_start long, frame_bytes long, offset long, length long"
 
 
-def record(key, url: str | None, body: str | None, date: str = "1970-01-01T00:00:00Z") -> bytes:
+def record(record_id: str, url: str | None, body: str | None, date: str = "1970-01-01T00:00:00Z") -> bytes:
     """One WARC record. A null body is written as empty and marked; line breaks in a URL are percent-encoded."""
     raw = (body or "").encode("utf-8", "surrogatepass")
-    head = ["WARC/1.0", "WARC-Type: resource", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, str(key))}>", f"WARC-Date: {date}"]
+    head = ["WARC/1.0", "WARC-Type: resource", f"WARC-Record-ID: <{record_id}>", f"WARC-Date: {date}"]
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     if body is None:
@@ -78,15 +78,18 @@ def read_record(uri: str, frame_start: int, frame_bytes: int, offset: int, lengt
 
 
 class _Writer:
-    """Bundles of one task. Names hold the attempt, so the rows of one attempt never point into the file of another."""
+    """Bundles of one task attempt, which no other attempt, task or run writes to or has records of the same identifiers as."""
 
     def __init__(self, folder: str, stem: str, frame_bytes: int, bundle_bytes: int, level: int):
         self.folder, self.stem, self.frame_bytes, self.bundle_bytes = folder, stem, frame_bytes, bundle_bytes
-        self.zip, self.out, self.made = zstandard.ZstdCompressor(level=level, write_content_size=True, write_checksum=True), None, 0
+        self.zip, self.out, self.made, self.records = zstandard.ZstdCompressor(level=level, write_content_size=True, write_checksum=True), None, 0, 0
         self.plain, self.held = io.BytesIO(), []
 
-    def add(self, key, raw: bytes) -> list[tuple]:
-        self.held.append((key, self.plain.tell(), len(raw)))
+    def add(self, key, url: str | None, body: str | None) -> list[tuple]:
+        name = f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{self.stem}/{self.records}')}"
+        raw = record(name, url, body)
+        self.records += 1
+        self.held.append((key, name, self.plain.tell(), len(raw)))
         self.plain.write(raw)
         return self.flush() if self.plain.tell() >= self.frame_bytes else []
 
@@ -100,7 +103,7 @@ class _Writer:
             self.made += 1
         packed = self.zip.compress(self.plain.getvalue())
         self.out.write(packed)
-        rows = [(key, self.uri, len(self.sizes), self.at, len(packed), offset, length) for key, offset, length in self.held]
+        rows = [(key, name, self.uri, len(self.sizes), self.at, len(packed), offset, length) for key, name, offset, length in self.held]
         self.sizes.append((len(packed), self.plain.tell()))
         self.at += len(packed)
         self.plain, self.held = io.BytesIO(), []
@@ -116,34 +119,36 @@ class _Writer:
 
 
 def bundle(pages: DataFrame, folder: str | None = None, frame_bytes: int = 1 << 20, bundle_bytes: int = 256 << 20, level: int = 3, *, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
-    """Writes all pages into bundles in ``folder`` (a URI; by default in the shared folder) and returns the index, with one
-    row a page: id, bundle, frame, frame_start, frame_bytes, offset, length.
-
-    Repeated rows get a record each; a null id is indexed as null (its record's identifier is that of "None"); null URLs and
-    bodies are kept apart from empty ones. Columns other than these three are not bundled. An empty table makes no bundle.
+    """Writes all pages into bundles in ``folder`` (a URI; by default a folder of its own in the shared one, which goes when the
+    application ends) and returns the index, with one row a page: id, record_id, bundle, frame, frame_start, frame_bytes, offset,
+    length.
+
+    Every row gets a record with an identifier of its own, repeated rows and null ids too; null URLs and bodies are kept apart
+    from empty ones. Columns other than these three are not bundled. An empty table makes no bundle. Names of bundles hold an
+    identifier of the run and of the task attempt: calls into one folder don't touch each other's files nor any others; only what
+    attempts of this run that were lost have left is deleted.
     """
     spark = pages.sparkSession
     folder = folder or _io.new_path(spark, "bundles")
     system, path = _open(folder)
     system.create_dir(path, recursive=True)
-    kind = pages.schema[id_col].dataType
+    kind, run = pages.schema[id_col].dataType, uuid.uuid4().hex
     p = pages.select(_io.column(pages, id_col).alias("id"), _io.column(pages, url_col).cast("string").alias("url"), _io.column(pages, body_col).cast("string").alias("body"))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        w = _Writer(folder, f"part-{task.partitionId():05d}-{task.attemptNumber()}", frame_bytes, bundle_bytes, level)
-        names = ["id", "bundle", "frame", "frame_start", "frame_bytes", "offset", "length"]
+        w = _Writer(folder, f"{run}-{task.partitionId():05d}-{task.taskAttemptId()}", frame_bytes, bundle_bytes, level)
+        names = ["id", "record_id", "bundle", "frame", "frame_start", "frame_bytes", "offset", "length"]
 
         def batch(rows: list[tuple], like: pa.DataType) -> pa.RecordBatch:
             cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], like), pa.array(cols[1]), *[pa.array(c, pa.int64()) for c in cols[2:]]], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], like), pa.array(cols[1]), pa.array(cols[2]), *[pa.array(c, pa.int64()) for c in cols[3:]]], names=names)
 
         like = None
         for b in batches:
             like, rows = b.schema.field(0).type, []
             for i in range(b.num_rows):
-                key = b.column(0)[i].as_py()
-                rows += w.add(key, record(key, b.column(1)[i].as_py(), b.column(2)[i].as_py()))
+                rows += w.add(*[b.column(c)[i].as_py() for c in range(3)])
             if rows:
                 yield batch(rows, like)
         if rows := w.flush():
@@ -153,15 +158,15 @@ def bundle(pages: DataFrame, folder: str | None = None, frame_bytes: int = 1 <<
     index = _io.written(p.mapInArrow(part, f"id {kind.simpleString()}, {INDEX}"), "index")
     named = {r[0].rpartition("/")[2] for r in index.select("bundle").distinct().collect()}
     for f in system.get_file_info(fs.FileSelector(path)):
-        if f.base_name not in named:
+        if f.is_file and f.base_name.startswith(run) and f.base_name not in named:
             system.delete_file(f.path)  # of an attempt that was lost
     return index.withColumnRenamed("id", id_col) if id_col != "id" else index
 
 
 def fetch(index: DataFrame, *, id_col: str = "page_id") -> DataFrame:
-    """Reads records back: (id, url, body) of every row of an index."""
+    """Reads records back: (id, record_id, url, body) of every row of an index."""
     kind = index.schema[id_col].dataType.simpleString()
-    i = index.select(F.col(id_col).alias("id"), "bundle", "frame_start", "frame_bytes", "offset", "length").repartition("bundle").sortWithinPartitions("bundle", "frame_start", "offset")
+    i = index.select(F.col(id_col).alias("id"), "record_id", "bundle", "frame_start", "frame_bytes", "offset", "length").repartition("bundle").sortWithinPartitions("bundle", "frame_start", "offset")
 
     def part(frames):
         last, plain = None, b""
@@ -176,6 +181,6 @@ def fetch(index: DataFrame, *, id_col: str = "page_id") -> DataFrame:
                 head, body = parse(plain[r.offset : r.offset + r.length])
                 urls.append(head.get("WARC-Target-URI"))
                 bodies.append(body)
-            yield df[["id"]].assign(url=urls, body=bodies)
+            yield df[["id", "record_id"]].assign(url=urls, body=bodies)
 
-    return i.mapInPandas(part, f"id {kind}, url string, body string").withColumnRenamed("id", id_col)
+    return i.mapInPandas(part, f"id {kind}, record_id string, url string, body string").withColumnRenamed("id", id_col)
