@@ -1,68 +1,28 @@
-"""Tables that cut lineage, columns by their exact names, and how large a side may be broadcast."""
+"""What the operators share around tables: lineage cuts, columns by their exact names, and how large a side may be broadcast."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A side of a join is broadcast only if its rows, decoded, take at most this much; beyond it the join shuffles.
-BROADCAST_BYTES = 32 << 20
-
-_made: set[str] = set()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where that is unset and all tasks run on this machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is unset: it must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="signalens-")
-        atexit.register(shutil.rmtree, folder, True)
-        root = "file://" + folder
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/signalens-{spark.sparkContext.applicationId}"
-    if path not in _made:
-        _made.add(path)
-        atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    sc = spark.sparkContext
-    if sc._jsc is None or sc._jsc.sc().isStopped():
-        return
-    _path(spark, path)[1].delete(_path(spark, path)[0], True)
+from signalens.operators.tables import drop, new_path, numbered, shared_dir, written
 
+__all__ = ["BROADCAST_BYTES", "column", "drop", "hinted", "is_small", "new_path", "numbered", "shared_dir", "slices", "written"]
 
-def _path(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a table in the shared folder: later reads survive lost executors and don't recompute it."""
-    path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: A side of a join is broadcast only if its rows, decoded, take at most this much; beyond it the join shuffles.
+BROADCAST_BYTES = 32 << 20
+#: Rows of an Arrow batch that a worker handles at once; it bounds memory.
+ROWS = 1024
 
 
-def drop(df: DataFrame) -> None:
-    """Deletes a table made by written(), once nothing reads it any more."""
-    spark = df.sparkSession
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        p, fs = _path(spark, folder)
-        fs.delete(p, True)
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rb in batches:
+        for at in range(0, rb.num_rows, ROWS):
+            yield rb.slice(at, ROWS)
 
 
 def is_small(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
