@@ -8,10 +8,9 @@ intervals of prefixes are nested or apart, so the top of the stack is the most s
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -40,44 +39,64 @@ def rule_key(pattern: str | None) -> str | None:
     return ".".join(reversed(host.split("."))) + "." + slash + path if host else None
 
 
-def classify(pages: DataFrame, rules: list[tuple[str | None, str | None]], *, id_col: str = "page_id", url_col: str = "url", ranges: int | None = None) -> DataFrame:
+def rule_keys(rules: DataFrame) -> DataFrame:
+    """(key, rule, action) of rules (pattern, action, position): of the same key the rule of the least position, of equal ones that of
+    the least pattern and action, nulls last."""
+    trimmed = F.trim("pattern", F.lit(" \t\n\r\f\x0B"))
+    at = F.locate("/", trimmed)
+    host = F.rtrim(F.lower(F.when(at > 0, F.substring(trimmed, F.lit(1), at - 1)).otherwise(trimmed)), F.lit("."))
+    path = F.when(at > 0, F.substring(trimmed, at, F.length(trimmed))).otherwise("")
+    key = F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."), path)
+    named = rules.where("pattern is not null").select(F.when(host != "", key).alias("key"), "position", F.col("pattern").alias("rule"), F.col("action").isNull().alias("no"), "action").where("key is not null")
+    first = named.groupBy("key").agg(F.min(F.struct("position", "rule", "no", "action")).alias("r"))
+    return first.select("key", "r.rule", "r.action")
+
+
+def _ranges(cuts: np.ndarray):
+    """A function of columns: for each key the first and the last of the ranges that it may lie in. Where a cut is drawn more than once,
+    its key may lie in all ranges between."""
+
+    def run(low: pa.Array, high: pa.Array) -> pa.Array:
+        find = lambda c, side: np.searchsorted(cuts.value, c.to_numpy(zero_copy_only=False).astype(object), side).astype(np.int32) if len(cuts.value) else np.zeros(len(c), np.int32)
+        return pa.StructArray.from_arrays([pa.array(find(low, "left")), pa.array(find(high, "right"))], names=["lo", "hi"])
+
+    run.__annotations__ = {"low": pa.Array, "high": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "lo int, hi int")
+
+
+def classify(pages: DataFrame, rules: DataFrame | list[tuple[str | None, str | None]], *, id_col: str = "page_id", url_col: str = "url", ranges: int | None = None) -> DataFrame:
     """Of every page: id, url, rule (the most specific that holds), action (that rule's) and n_rules (how many hold).
 
-    rules: (pattern, action); of the same pattern the first counts, and patterns that are null or without a host are left
-    out. Where no rule holds, or a URL is null or has no host, rule and action are null and n_rules is 0. Repeated rows and
-    null ids are kept; other columns of pages play no part.
+    rules: a table (pattern, action, and position if there is one) of any size, or a list of (pattern, action). Of the same
+    pattern the first counts (least position; without one, the least pattern and action), and patterns that are null or
+    without a host are left out. Where no rule holds, or a URL is null or has no host, rule and action are null and n_rules is
+    0; such URLs are not shuffled. Repeated rows and null ids are kept; other columns of pages play no part. Pages of one URL
+    that many have are spread over as many ranges as its share of the draw.
     """
     spark = pages.sparkSession
-    named: dict[str, tuple[str, str | None]] = {}
-    for pattern, action in rules:
-        if (k := rule_key(pattern)) is not None:
-            named.setdefault(k, (pattern, action))
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame([(p, a, i) for i, (p, a) in enumerate(rules)], "pattern string, action string, position long")
+    named = rule_keys(rules if "position" in rules.columns else rules.withColumn("position", F.lit(0)))
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = pages.schema[id_col].dataType.simpleString()
     p = pages.select(_io.column(pages, id_col).alias("id"), _io.column(pages, url_col).alias("url")).withColumn("key", url_key(F.col("url")))
     share = min(1.0, CUT_SAMPLE / max(1, p.count()))
-    drawn = sorted(r[0] for r in p.where("key is not null").where(F.pmod(F.xxhash64("key", "id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("key").collect()) if n > 1 else []
-    cuts = sorted({drawn[len(drawn) * i // n] for i in range(1, n)}) if drawn else []
-    shared = spark.sparkContext.broadcast(cuts)
-
-    @F.pandas_udf("int")
-    def range_of(key: pd.Series) -> pd.Series:
-        c = shared.value
-        return key.map(lambda k: bisect.bisect_right(c, k) if k is not None else -1).astype("int32")
-
-    opened = [(part, k, *v) for k, v in named.items() for part in range(bisect.bisect_right(cuts, k), bisect.bisect_right(cuts, k + LAST) + 1)]
-    r = spark.createDataFrame(opened, "part int, key string, rule string, action string").select("part", "key", F.lit(0).alias("kind"), F.lit(None).cast(kind).alias("id"), F.lit(None).cast("string").alias("url"), "rule", "action")
-    q = p.select(range_of("key").alias("part"), "key", F.lit(1).alias("kind"), "id", "url", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("action"))
-    s = r.unionByName(q).repartition(n, "part").sortWithinPartitions("part", "key", "kind")
+    salt = F.xxhash64("key", "id")
+    drawn = sorted(r[0] for r in p.where("key is not null").where(F.pmod(salt, F.lit(1 << 30)) < int(share * (1 << 30))).select("key").collect()) if n > 1 else []
+    cuts = np.array([drawn[len(drawn) * i // n] for i in range(1, n)] if drawn else [], dtype=object)
+    where = _ranges(spark.sparkContext.broadcast(cuts))
+    none = F.lit(None).cast("string")
+    r = named.withColumn("at", where("key", F.concat("key", F.lit(LAST)))).select(F.explode(F.sequence("at.lo", "at.hi")).alias("part"), "key", F.lit(0).alias("kind"), F.lit(None).cast(kind).alias("id"), none.alias("url"), "rule", "action")
+    q = p.where("key is not null").withColumn("at", where("key", "key"))
+    q = q.select((F.col("at.lo") + F.pmod(F.xxhash64("id", F.lit(7)), F.col("at.hi") - F.col("at.lo") + 1)).cast("int").alias("part"), "key", F.lit(1).alias("kind"), "id", "url", none.alias("rule"), none.alias("action"))
+    s = r.unionByName(q).repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("key", "kind")
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, stack = None, []
+        stack: list[tuple] = []
         for b in batches:
             rule, action, depth = [], [], []
-            for part, key, kd, rl, ac in zip(*(b.column(c).to_pylist() for c in ("part", "key", "kind", "rule", "action")), strict=True):
-                if part != last:
-                    last, stack = part, []
-                while stack and (key is None or not key.startswith(stack[-1][0])):
+            for key, kd, rl, ac in zip(*(b.column(c).to_pylist() for c in ("key", "kind", "rule", "action")), strict=True):
+                while stack and not key.startswith(stack[-1][0]):
                     stack.pop()
                 if kd == 0:
                     stack.append((key, rl, ac))
@@ -89,7 +108,9 @@ def classify(pages: DataFrame, rules: list[tuple[str | None, str | None]], *, id
             got = b.filter(pc.equal(b.column("kind"), 1))
             yield pa.RecordBatch.from_arrays([got.column("id"), got.column("url"), pa.array(rule, pa.string()), pa.array(action, pa.string()), pa.array(depth, pa.int64())], names=["id", "url", "rule", "action", "n_rules"])
 
-    return s.mapInArrow(sweep, f"id {kind}, url string, rule string, action string, n_rules long").withColumnRenamed("id", id_col)
+    swept = s.mapInArrow(sweep, f"id {kind}, url string, rule string, action string, n_rules long")
+    apart = p.where("key is null").select("id", "url", none.alias("rule"), none.alias("action"), F.lit(0).cast("long").alias("n_rules"))
+    return swept.unionByName(apart).withColumnRenamed("id", id_col)
 
 
 def rules_sql(rules: list[tuple[str, str]], table: str = "pages") -> str:
