@@ -8,6 +8,7 @@ false positives is taken off, and the largest corrected count decides.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from signalens.llm import _io, _text
 
+#: n-grams have two characters at least.
 N, HASHES, SLOTS_LOG2 = 4, 3, 17
 #: n-grams that a language's filter holds at most: the most frequent ones of its sample.
 PER_LANGUAGE = 6000
@@ -55,31 +57,52 @@ def ngrams(texts: list[str | None], n: int = N) -> tuple[np.ndarray, np.ndarray]
     c = c[keep].astype(np.uint64)
     stop = np.flatnonzero(c == 0)
     m = max(0, len(c) - n + 1)
-    h = np.zeros(m, dtype=np.uint64)
     ok = np.ones(m, dtype=bool)
+    for i in range(n):
+        at = stop - i
+        ok[at[(at >= 0) & (at < m)]] = False
+    count = np.concatenate([[0], np.cumsum(ok)])
+    return _hashed(c, n)[ok], np.concatenate([[0], count[np.minimum(stop, m)]])
+
+
+def long_ngrams(text: str, n: int = N) -> Iterator[np.ndarray]:
+    """Hashes of the n-grams of one text as ngrams() has them, a part at a time: parts overlap by n-1 characters."""
+    held = np.array([32], dtype=np.uint64)  # what the parts so far end with, a space in front of the text
+    for at in range(0, len(text) + 1, _text.CHUNK):
+        part = text[at : at + _text.CHUNK] + (" " if at + _text.CHUNK > len(text) else "")
+        c = np.concatenate([held, _letters()[_text.code_points(part)].astype(np.uint64)])
+        new = np.ones(len(c), dtype=bool)
+        new[len(held) :] = (c[len(held) :] != 32) | (c[len(held) - 1 : -1] != 32)
+        c = c[new]
+        yield _hashed(c, n)
+        held = c[-max(1, n - 1) :]
+
+
+def _hashed(c: np.ndarray, n: int) -> np.ndarray:
+    m = max(0, len(c) - n + 1)
+    h = np.zeros(m, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for i in range(n):
             h = h * np.uint64(0x9E3779B97F4A7C15) + c[i : i + m] + np.uint64(1)
-            at = stop - i
-            ok[at[(at >= 0) & (at < m)]] = False
-    count = np.concatenate([[0], np.cumsum(ok)])
-    return _text.mix(h[ok]), np.concatenate([[0], count[np.minimum(stop, m)]])
+    return _text.mix(h)
 
 
-def _chunks(texts: list[str | None]):
-    """(text indices, texts) of about CHUNK characters; a longer text comes in pieces, and no n-gram spans two pieces."""
+def _parts(texts: list[str | None], n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text indices, hashes of n-grams, offsets) of about CHUNK characters at a time."""
     at, held, size = [], [], 0
     for i, t in enumerate(texts):
-        for k in range(0, max(1, len(t or "")), _text.CHUNK):
-            piece = (t or "")[k : k + _text.CHUNK]
-            at.append(i)
-            held.append(piece)
-            size += len(piece) + 3
-            if size >= _text.CHUNK:
-                yield np.array(at), held
-                at, held, size = [], [], 0
+        if len(t or "") > _text.CHUNK:
+            for h in long_ngrams(t, n):
+                yield np.array([i]), h, np.array([0, len(h)])
+            continue
+        at.append(i)
+        held.append(t)
+        size += len(t or "") + 3
+        if size >= _text.CHUNK:
+            yield np.array(at), *ngrams(held, n)
+            at, held, size = [], [], 0
     if at:
-        yield np.array(at), held
+        yield np.array(at), *ngrams(held, n)
 
 
 @dataclass
@@ -99,8 +122,7 @@ class Filters:
     def counts(self, texts: list[str | None], n: int = N) -> tuple[np.ndarray, np.ndarray]:
         """(n-grams of each text, corrected count of each text and language)."""
         total, got = np.zeros(len(texts)), np.zeros((len(texts), len(self.languages)))
-        for at, part in _chunks(texts):
-            h, off = ngrams(part, n)
+        for at, h, off in _parts(texts, n):
             np.add.at(total, at, np.diff(off))
             for j in range(len(self.languages)):
                 if j % 64 == 0:
@@ -116,7 +138,7 @@ def build(samples: dict[str, list[str]], n: int = N, per_language: int = PER_LAN
     kind = np.uint8 if len(languages) <= 8 else np.uint64
     slots = np.zeros((max(1, -(-len(languages) // 64)), 1 << SLOTS_LOG2), dtype=kind)
     for j, name in enumerate(languages):
-        h = np.concatenate([ngrams(part, n)[0] for _, part in _chunks(samples[name])] or [np.empty(0, np.uint64)])
+        h = np.concatenate([h for _, h, _ in _parts(samples[name], n)] or [np.empty(0, np.uint64)])
         u, c = np.unique(h, return_counts=True)
         top = u[np.lexsort((u, -c))[:per_language]]
         for k in range(HASHES):

@@ -1,8 +1,12 @@
 import random
+import re
+import unicodedata
+from collections import Counter
 
 import numpy as np
 import pytest
 from common import empty, messy, prose
+from pyspark.sql import functions as F
 
 from signalens.llm import language_id as L
 from signalens.llm import quality_classifier as Q
@@ -44,6 +48,57 @@ def test_best_stretch(model):
         assert abs(S.best(model.ratio, run)[2] - brute_best(model.ratio, run)) < 1e-3
 
 
+def test_training_on_a_table_of_samples(spark, model):
+    """Tokens of a kind of their own (vowels that never meet), told from words by samples alone, held-out ones too."""
+    r = random.Random(8)
+    odd = ["".join(r.choice("aeiou") + r.choice("wxqz") for _ in range(12)) for _ in range(1200)]
+    plain = S.identifiers(1500, 4)
+    table = [(v, True) for v in odd[:900]] * 2 + [(v, False) for v in plain] + [(None, True), ("a b", True), ("", False), ("both_ways_labelled", True), ("both_ways_labelled", False), ("unlabelled_value_here", None)]
+    m = S.train(samples=spark.createDataFrame(table, "value string, secret boolean").repartition(3), seed=3)
+    hit = lambda x, v: S.best(x.ratio, v)[2] > x.threshold
+    assert np.mean([hit(m, v) for v in odd[900:]]) > 0.99 and np.mean([hit(m, v) for v in S.identifiers(1500, 5) if len(v) >= 16]) < 0.01
+    only = S.train(samples=spark.createDataFrame(table[:900], "value string, secret boolean"), sample_rows=100)
+    assert np.mean([hit(only, v) for v in odd[900:]]) > 0.95
+
+
+def brute_segments(ratio, threshold, run):
+    """Whether each character lies in some stretch of MIN_LENGTH characters at least whose sum exceeds the threshold, and in one without
+    which no such stretch is there: by sums of all stretches."""
+    total = S._sums(ratio, run)
+    n, least = len(run), S.MIN_LENGTH
+    good = [(i, j) for i in range(n) for j in range(i + least, n + 1) if total[j] - total[i] > threshold]
+    within = np.zeros(n, dtype=bool)
+    for i, j in good:
+        within[i:j] = True
+    return within, good
+
+
+def test_scan_against_all_stretches(spark, model):
+    """Every secret lies where some stretch exceeds the threshold; where a run has one, something is reported; and every stretch above
+    the threshold meets a secret that is reported."""
+    r, docs = random.Random(12), []
+    parts = S.random_strings(40, 5) + S.identifiers(80, 6)
+    for i in range(60):
+        docs.append((i, " ".join(r.choice(["/", "=", "-", "_", ""]).join(r.choice(parts) for _ in range(r.randint(1, 3))) for _ in range(2))))
+    found = {}
+    for x in S.scan(spark.createDataFrame(docs, "doc_id long, text string"), model).collect():
+        assert dict(docs)[x.doc_id][x.first_char : x.end_char] == x.secret and x.score > model.threshold
+        found.setdefault(x.doc_id, []).append((x.first_char, x.end_char))
+    runs = 0
+    for i, t in docs:
+        spans = found.get(i, [])
+        assert all(b <= c for (_, b), (c, _) in zip(sorted(spans), sorted(spans)[1:], strict=False))
+        for run in S.RUN.finditer(t):
+            within, good = brute_segments(model.ratio, model.threshold, run.group())
+            own = [(a - run.start(), b - run.start()) for a, b in spans if run.start() <= a < run.end()]
+            assert bool(own) == bool(good) or run.group().isdigit()
+            assert all(within[a:b].any() for a, b in own)
+            best = max(good, key=lambda p: S._sums(model.ratio, run.group())[p[1]] - S._sums(model.ratio, run.group())[p[0]], default=None)
+            assert best is None or any(a < best[1] and best[0] < b for a, b in own)
+            runs += bool(own)
+    assert runs > 40
+
+
 def test_several_secrets_in_one_run(model):
     r = random.Random(6)
     hexes = ["".join(r.choice("0123456789abcdef") for _ in range(40)) for _ in range(3)]
@@ -88,6 +143,53 @@ def test_filters_have_no_false_negatives():
     assert total.tolist() == brute and total[2] == total[3] == 0
 
 
+def naive_ngrams(text, n=L.N):
+    """n-grams of a text with a space at either end, all but letters being single spaces."""
+    s = " " + "".join((c.lower() if len(c.lower()) == 1 else c) if unicodedata.category(c)[0] == "L" else " " for c in (text or "").replace("\x00", " ")) + " "
+    s = re.sub(" +", " ", s)
+    return [s[i : i + n] for i in range(len(s) - n + 1)]
+
+
+def test_ngrams_of_texts_of_any_length(monkeypatch):
+    """The same n-grams, whether texts come together or one comes in parts, wherever these are cut."""
+    r = random.Random(3)
+    texts = ["".join(r.choice("abÀé  .\n1x") for _ in range(k)) for k in (0, 1, 2, 3, 5, 17, 64, 65, 200, 999)] + [None, "   ", "ß\x00İx", "  lead and trail  "]
+    hash_of = lambda g: int(L._hashed(np.array([ord(c) for c in g], dtype=np.uint64), L.N)[0])
+    want = [sorted(hash_of(g) for g in naive_ngrams(t)) for t in texts]
+    h, off = L.ngrams(texts)
+    assert [sorted(h[a:b].tolist()) for a, b in zip(off[:-1], off[1:], strict=True)] == want
+    for chunk in (3, 7, 64):
+        monkeypatch.setattr(L._text, "CHUNK", chunk)
+        assert [sorted(x for p in L.long_ngrams(t or "") for x in p.tolist()) for t in texts] == want
+        f = L.build({"a": [t for t in texts if t][:3], "b": ["xyz " * 50]})
+        assert f.counts(texts)[0].tolist() == [len(w) for w in want]
+
+
+def test_languages_against_exact_sets(spark):
+    """The query's answer and counts against sets of n-grams instead of filters."""
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    sample: dict[str, list[str]] = {}
+    f = L.train(d, 40)
+    some = d.where("lang is not null").select("doc_id", "lang", "text", F.xxhash64("doc_id", F.lit(8)).alias("h")).toPandas().sort_values(["h", "doc_id"])
+    for lang, texts in some.groupby("lang", sort=True).text:
+        sample[lang] = list(texts[:40])
+    own = {}
+    for lang, texts in sample.items():
+        n = Counter(g for t in texts for g in naive_ngrams(t))
+        code = {g: int(L._hashed(np.array([ord(c) for c in g], dtype=np.uint64), L.N)[0]) for g in n}
+        own[lang] = set(sorted(n, key=lambda g: (-n[g], code[g]))[: L.PER_LANGUAGE])
+    got = {r.doc_id: r for r in L.identify(d, f).collect()}
+    right = near = 0
+    for r in d.collect():
+        grams = naive_ngrams(r.text)
+        count = {lang: sum(g in s for g in grams) for lang, s in own.items()}
+        best = max(sorted(count), key=count.get) if any(count.values()) else None
+        assert got[r.doc_id].n_grams == len(grams)
+        right += got[r.doc_id].lang == best or sorted(count.values())[-1] == sorted(count.values())[-2]
+        near += best is None or abs(got[r.doc_id].confidence - count[best] / len(grams)) < 0.03
+    assert right >= 0.995 * len(got) and near >= 0.98 * len(got)
+
+
 @pytest.mark.parametrize("n", [64, 65, 130])
 def test_more_languages_than_a_word_has_bits(n):
     r = random.Random(n)
@@ -131,6 +233,31 @@ def test_flattened_trees_against_a_walk():
     assert Q.fit(x, np.ones(800)).probability(x[:3]).min() > 0.99 and len(Q.fit(x[:0], y[:0]).probability(x)) == 800
 
 
+def test_splits_against_all_splits():
+    """The first split, and those of both halves, are the best of all that leave enough rows on either side; leaves are Newton steps."""
+    r = np.random.default_rng(5)
+    for _ in range(5):
+        x = r.integers(0, 8, size=(400, 4)).astype(float)
+        y = (x[:, 1] + 2 * (x[:, 2] > 4) + r.normal(size=400) > 6).astype(float)
+        f = Q.fit(x, y, trees=1, depth=2)
+        q = 1 / (1 + np.exp(-f.base))
+        g, h = y - q, np.full(400, q * (1 - q))
+        score = lambda m: g[m].sum() ** 2 / (h[m].sum() + Q.RIDGE)
+        gain = lambda rows, left: score(rows & left) + score(rows & ~left) - score(rows)
+
+        def best(rows):
+            splits = [gain(rows, x[:, j] <= c) for j in range(4) for c in range(8) if min((rows & (x[:, j] <= c)).sum(), (rows & (x[:, j] > c)).sum()) >= Q.LEAST_ROWS]  # noqa: B023
+            return max(splits)
+
+        at = lambda node: x[:, f.feature[0, node]] <= f.cut[0, node]
+        everything = np.ones(400, dtype=bool)
+        first = at(0)
+        for node, rows in ((0, everything), (1, first), (2, ~first)):
+            assert abs(gain(rows, at(node)) - best(rows)) < 1e-9
+        for leaf, rows in enumerate((first & at(1), first & ~at(1), ~first & at(2), ~first & ~at(2))):
+            assert abs(f.leaf[0, leaf] - Q.RATE * g[rows].sum() / (h[rows].sum() + Q.RIDGE)) < 1e-9
+
+
 def test_classifier_on_awkward_rows(spark):
     docs = messy(spark)
     labels = spark.createDataFrame([(1, 1), (3, 0), (None, 1), (1, 0), (7, None), (4, 5)], "doc_id long, quality int")
