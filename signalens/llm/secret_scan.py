@@ -25,8 +25,10 @@ MIN_LENGTH = 16
 JOINED = 20
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_LENGTH)
 ALPHABET = string.ascii_letters + string.digits + "+/_=-"
-#: Labelled documents from which ordinary identifiers are taken.
+#: Labelled documents from which ordinary words are taken at most.
 SAMPLE_ROWS = 1500
+#: Labelled samples of a kind that the models are made from at most.
+SAMPLES = 20_000
 _CODE = np.full(128, len(ALPHABET), dtype=np.int64)
 _CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
 _START = len(ALPHABET)
@@ -203,15 +205,21 @@ def stretches(ratio: np.ndarray, threshold: float, run: str) -> list[tuple[int,
     return sorted(out)
 
 
-def train(docs: DataFrame | None = None, labels: DataFrame | None = None, rows: int = SAMPLE_ROWS, seed: int = 5, *, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality") -> Model:
-    """Models from made-up secrets, made-up identifiers and, with docs and labels, the longer words of at most ``rows``
-    documents of good quality (those whose ids have the least hashes)."""
-    words: list[str] = []
+def train(docs: DataFrame | None = None, labels: DataFrame | None = None, rows: int = SAMPLE_ROWS, seed: int = 5, *, samples: DataFrame | None = None, sample_rows: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality") -> Model:
+    """Models from labelled samples: ``samples`` (value string, secret boolean), at most ``sample_rows`` distinct ones of each kind, those of
+    the least hashes; nulls, values of other characters than tokens are made of, and what is labelled both ways are left out.
+    A kind of which there are no samples is made up. With docs and labels the longer words of at most ``rows`` documents of good
+    quality (those whose ids have the least hashes) are ordinary as well."""
+    secrets, ordinary, words = [], [], []
+    if samples is not None:
+        v = samples.select(_io.column(samples, "value").cast("string").alias("v"), _io.column(samples, "secret").cast("boolean").alias("s")).where(F.col("s").isNotNull() & F.col("v").rlike(r"^[A-Za-z0-9+/_=-]+$"))
+        one = v.groupBy("v").agg(F.min("s").alias("s"), F.max("s").alias("t")).where("s = t")
+        secrets, ordinary = ([r.v for r in one.where(F.col("s") == kind).orderBy(F.xxhash64("v", F.lit(seed)), "v").limit(sample_rows).collect()] for kind in (True, False))
     if docs is not None and labels is not None:
         good = labels.where(_io.column(labels, quality_col) == 1).select(_io.column(labels, id_col).alias("i")).where("i is not null").distinct().orderBy(F.xxhash64("i", F.lit(seed)), "i").limit(rows)
         d = docs.select(_io.column(docs, id_col).alias("i"), _io.column(docs, text_col).alias("t")).join(F.broadcast(good), "i").select(F.array_distinct(F.regexp_extract_all("t", F.lit("[A-Za-z]{8,}"), F.lit(0))).alias("w"))
         words = sorted({w for r in d.collect() for w in r.w or []})
-    return fit(random_strings(6000, seed), identifiers(6000, seed) + words)
+    return fit(secrets or random_strings(6000, seed), (ordinary or identifiers(6000, seed)) + words)
 
 
 def scan(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
