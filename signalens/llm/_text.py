@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Characters handled at once; it bounds the memory of a Python worker, not what is read.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))

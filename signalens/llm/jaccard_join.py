@@ -104,7 +104,7 @@ def _rows(docs: DataFrame, n: int, t: float, id_col: str, text_col: str) -> Data
     none = np.empty(0, np.int64)
 
     def part(batches):
-        for rb in batches:
+        for rb in _io.slices(batches):
             h1, h2, size, band, own, low, f_own, f_low = [], [], [], [], [], [], [], []
             for u in _text.gram_sets(rb.column(2).to_pylist(), n):
                 b = band_of(len(u), t)
@@ -145,7 +145,7 @@ def _grams(docs: DataFrame, sets: DataFrame, wanted: DataFrame, n: int, id_col:
 
     def part(batches):
         seen: set[int] = set()  # rows that are repeated in docs come once a task
-        for rb in batches:
+        for rb in _io.slices(batches):
             new = [i for i, s in enumerate(rb.column(0).to_pylist()) if not (s in seen or seen.add(s))]
             rb = rb.take(pa.array(new, pa.int64()))
             yield pa.RecordBatch.from_arrays([rb.column(0), _lists(list(_text.gram_sets(rb.column(1).to_pylist(), n)))], names=["sid", "grams"])
@@ -254,7 +254,7 @@ def _by_grams(docs: DataFrame, sets: DataFrame, hot: DataFrame, n: int, t: float
 
     def part(batches):
         seen: set[int] = set()
-        for rb in batches:
+        for rb in _io.slices(batches):
             at, facts, keys = [], [], []
             wanted = list(zip(*[rb.column(c).to_pylist() for c in range(3)], strict=True))
             new = [i for i, (s, _, _) in enumerate(wanted) if not (s in seen or seen.add(s))]
