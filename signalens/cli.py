@@ -185,6 +185,8 @@ def settings(mode: str, o: argparse.Namespace):
 
 
 def validation(mode: str, argv: list[str], out, err) -> int:
+    from signalens.operators import findings
+    from signalens.operators.tables import scratch, written
     from signalens.plans import report
     from signalens.plans.validate import Inputs, validate
 
@@ -195,6 +197,8 @@ def validation(mode: str, argv: list[str], out, err) -> int:
             raise ValueError("no inputs: give --prometheus-rules, --loki-rules or --dashboards")
         if o.format not in report.FORMATS:
             raise ValueError(f"unknown format {o.format!r}")
+        if o.output.endswith("/") and o.format not in report.ROWS:
+            raise ValueError(f"{o.format} is one document: it cannot go to a folder")
         deadline, debounce, refresh = _seconds(o.deadline), _seconds(o.watch_debounce), _seconds(o.catalog_refresh)
         conf = settings(mode, o)
     except (ValueError, OSError) as e:
@@ -205,8 +209,13 @@ def validation(mode: str, argv: list[str], out, err) -> int:
     spark = SparkSession.getActiveSession() or SparkSession.builder.appName("signalens").config("spark.ui.showConsoleProgress", "false").getOrCreate()
 
     def once() -> tuple[list[dict], dict[str, int]]:
-        r = validate(spark, inputs, conf)
-        text, found = report.rendered(r.findings, o.format, r.files_scanned)
+        with scratch():
+            r = validate(spark, inputs, conf)
+            if o.output.endswith("/"):  # a folder: lines are written where they are, and only counts come back
+                f = written(r.findings, "findings")
+                report.write(findings.ordered(f), o.format, o.output)
+                return [x.asDict() for x in findings.counts(f).collect()], r.files_by_kind
+            text, found = report.rendered(r.findings, o.format, r.files_scanned)
         if o.output == "-":
             out.write(text)
         else:
@@ -231,8 +240,8 @@ def validation(mode: str, argv: list[str], out, err) -> int:
     return CLEAN if o.exit_zero else exit_code(found)
 
 
-def exit_code(findings: list[dict]) -> int:
-    worst = {f["severity"] for f in findings}
+def exit_code(found: list[dict]) -> int:
+    worst = {f["severity"] for f in found}
     return ERRORS if "error" in worst else WARNINGS if "warning" in worst else CLEAN
 
 
@@ -262,7 +271,7 @@ def watch(inputs, once, debounce: float, refresh: float, listen: str, err, stop:
         seconds = time.monotonic() - began[0]
         found, files = got if got else ([], {})
         metrics.observe_run(found, files, seconds, failed=error is not None)
-        log.info("pass failed: %s", error) if error else log.info("pass ended: %d findings in %.2f s", len(found), seconds)
+        log.info("pass failed: %s", error) if error else log.info("pass ended: %d findings in %.2f s", sum(f.get("n", 1) for f in found), seconds)
 
     w = Watcher(inputs.prometheus_rules + inputs.loki_rules + inputs.dashboards, run, result, lambda: setattr(metrics, "is_ready", True), debounce, refresh)
     if stop is not None:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import functools
 import shutil
 import tempfile
 import uuid
@@ -11,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _made: set[str] = set()
+_open: list[list[tuple[SparkSession, str]]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,17 +55,55 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """df as a table in the shared folder: later reads survive lost executors and don't recompute it."""
     path = new_path(df.sparkSession, what)
     df.write.parquet(path)
+    if _open:
+        _open[-1].append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop(df: DataFrame) -> None:
     """Deletes a table made by written(), once nothing reads it any more."""
-    spark = df.sparkSession
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        p, fs = file_system(spark, folder)
+    for folder in _folders(df):
+        p, fs = file_system(df.sparkSession, folder)
         fs.delete(p, True)
 
 
+def _folders(df: DataFrame) -> set[str]:
+    return {f.rpartition("/")[0] for f in df.inputFiles()}
+
+
+@contextlib.contextmanager
+def scratch():
+    """Deletes at its end the tables that were written within it, but for those that a frame given to the function it yields reads;
+    these are left to the scratch around it, if there is one."""
+    mine: list[tuple[SparkSession, str]] = []
+    kept: set[str] = set()
+    _open.append(mine)
+    try:
+        yield lambda *frames: kept.update(*[{x.rpartition("/")[2] for x in _folders(df)} for df in frames])
+    finally:
+        _open.remove(mine)
+        for spark, path in mine:
+            if path.rpartition("/")[2] in kept:
+                if _open:
+                    _open[-1].append((spark, path))
+                continue
+            p, fs = file_system(spark, path)
+            fs.delete(p, True)
+
+
+def tidy(f):
+    """f, which returns a frame or a tuple of frames, without what it wrote and these don't read."""
+
+    @functools.wraps(f)
+    def run(*args, **kwargs):
+        with scratch() as keep:
+            out = f(*args, **kwargs)
+            keep(*(out if isinstance(out, tuple) else (out,)))
+        return out
+
+    return run
+
+
 def numbered(df: DataFrame, *order, name: str = "position", first: int = 1) -> DataFrame:
     """df with the place of each row in an order: rows are sorted in ranges and written, ranges are counted, and the counts
     of those before are added. No task sees all rows; the one window is over a row a range."""

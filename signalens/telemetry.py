@@ -27,12 +27,13 @@ class Metrics:
         self.times = {"run": (RUN_BUCKETS, []), "prewarm": (PREWARM_BUCKETS, [])}
 
     def observe_run(self, findings: list[dict], files: dict[str, int], seconds: float, failed: bool = False) -> None:
+        """findings: one by one, or counts of them in n."""
         with self.lock:
             count = dict.fromkeys(SEVERITIES, 0)
             for f in findings:
                 k = (f["code"], f["severity"], f["category"])
-                self.findings[k] = self.findings.get(k, 0) + 1
-                count[f["severity"]] = count.get(f["severity"], 0) + 1
+                self.findings[k] = self.findings.get(k, 0) + f.get("n", 1)
+                count[f["severity"]] = count.get(f["severity"], 0) + f.get("n", 1)
             outcome = "failed" if failed else "errors" if count["error"] else "warnings" if count["warning"] else "clean"
             if not failed:
                 self.last = count

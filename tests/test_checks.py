@@ -151,6 +151,31 @@ def test_numbering_without_one_task_for_all(spark):
     assert numbered(df.where("false"), "id").count() == 0
 
 
+def test_scratch_tables(spark):
+    from signalens.operators.tables import scratch, tidy, written
+
+    made = []
+
+    @tidy
+    def inner():
+        a, b, c = (written(spark.range(n), "t") for n in (1, 2, 3))
+        made.extend((a, b, c))
+        return a.join(b, "id", "left"), a
+
+    there = lambda df: len(spark.read.parquet(*{f.rpartition("/")[0] for f in df}).collect())
+    files = []
+    with scratch() as keep:
+        left, one = inner()
+        files = [df.inputFiles() for df in made[:2]]
+        assert left.count() == 1 and one.count() == 1
+        with pytest.raises(Exception, match="(?i)path|file"):
+            made[2].collect()
+        keep(made[1])
+    assert there(files[1]) == 2
+    with pytest.raises(Exception, match="(?i)path|file"):
+        there(files[0])
+
+
 def test_quoted(spark):
     from pyspark.sql import functions as F
 

@@ -190,6 +190,10 @@ def test_validation_commands(spark, tmp_path, server):
     assert sorted((f["code"][:4], tuple(f.get("suggestions", []))) for f in doc["findings"]) == [("E101", ("up",)), ("E103", ("api",)), ("E202", ("web",))]
     assert sum(a[0] == "/api/v1/label/__name__/values" for a in asked) == 1
     assert _run("check", *args, "--prometheus-url", url, "--exit-zero")[0] == 0
+    assert _run("validate", *args, "--prometheus-url", url, "--loki-url", url, f"--output={tmp_path}/parts/", "--format=tsv")[:2] == (2, "")
+    lines = [x for f in sorted((tmp_path / "parts").glob("part-*")) for x in f.read_text().splitlines()]
+    assert lines == _run("validate", *args, "--prometheus-url", url, "--loki-url", url, "--format=tsv")[1].splitlines() and len(lines) == 3
+    assert _run("lint", *args, f"--output={tmp_path}/parts/", "--format=json")[0] == 2
     assert _run("validate", *args, "--offline", "--prometheus-url", "http://127.0.0.1:1")[0] == 0
     assert _run("validate", *args, "--prometheus-url", "http://127.0.0.1:1")[0] == 2
     for bad in (["lint"], ["check", *args], ["lint", *args, "--format", "x"], ["lint", "--prometheus-rules", str(tmp_path / "none")], ["lint", "--what"]):
@@ -258,6 +262,11 @@ def test_stream(spark, tmp_path):
 
 
 def test_telemetry():
+    m = telemetry.Metrics("v")
+    m.observe_run([{"code": "E1", "severity": "error", "category": "lint"}], {"promql": 2}, 0.3)
+    m.observe_run([], {}, 70, failed=True)
+    m.observe_run([{"code": "E2", "severity": "error", "category": "lint", "n": 5}], {}, 0.1)
+    assert 'signalens_findings_total{code="E2",severity="error",category="lint"} 5\n' in m.text()
     m = telemetry.Metrics("v")
     m.observe_run([{"code": "E1", "severity": "error", "category": "lint"}], {"promql": 2}, 0.3)
     m.observe_run([], {}, 70, failed=True)
