@@ -51,9 +51,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to the table documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = _io.written(docs, f"stage-{k}-{name}")
+        with _io.scratch() as keep:
+            docs = stage(spark, docs, sf_dir)
+            if k < len(STAGES) - 1:
+                docs = _io.written(docs, f"stage-{k}-{name}")
+            keep(docs)
     return docs
 
 
