@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from signalens.operators.tables import drop, new_path, numbered, shared_dir, written
+from signalens.operators.tables import drop, new_path, numbered, scratch, shared_dir, tidy, written
 
-__all__ = ["BROADCAST_BYTES", "column", "drop", "hinted", "is_small", "new_path", "numbered", "shared_dir", "slices", "written"]
+__all__ = ["BROADCAST_BYTES", "column", "drop", "hinted", "is_small", "new_path", "numbered", "scratch", "shared_dir", "slices", "tidy", "written"]
 
 #: A side of a join is broadcast only if its rows, decoded, take at most this much; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20

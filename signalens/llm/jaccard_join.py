@@ -378,6 +378,7 @@ def components(pairs: DataFrame) -> DataFrame:
             return label
 
 
+@_io.tidy
 def _classes(docs: DataFrame, n: int, t: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(rows, classes), both written. rows: (id, th, h1, h2) of every row of docs; classes: (h1, h2, best, in_class, copies, links) of every set."""
     rows = _io.written(_rows(docs, n, t, id_col, text_col), "rows")
@@ -420,6 +421,7 @@ def _classes(docs: DataFrame, n: int, t: float, id_col: str, text_col: str) -> t
     return rows.select("id", "th", "h1", "h2"), _io.written(placed.join(best, "root").select("h1", "h2", "best", "in_class", "copies", "links"), "classes")
 
 
+@_io.tidy
 def classes(docs: DataFrame, n: int = N, t: float = THRESHOLD, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of every row: id, class_id, copies, links. Documents whose sets of word n-grams have a Jaccard index of at least t are linked; a
     class is what links connect, and class_id its least id (null if none of it has an id). copies: rows with the same set, itself
@@ -435,6 +437,7 @@ def classes(docs: DataFrame, n: int = N, t: float = THRESHOLD, *, id_col: str =
     return out.select(F.col("id").alias(id_col), F.when(F.col("h1").isNull(), F.col("id")).otherwise(F.col("best_id")).alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
+@_io.tidy
 def deduplicate(docs: DataFrame, n: int = N, t: float = THRESHOLD, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each class of near duplicates, that of the least id (null ids last; of equal rows, one).
 

@@ -25,6 +25,8 @@ N, HASHES, SLOTS_LOG2 = 4, 3, 17
 PER_LANGUAGE = 6000
 #: Labelled rows of each language that the filters are made from.
 SAMPLE_ROWS = 400
+#: Languages at most: those of the most labelled rows.
+LANGUAGES = 512
 
 
 @lru_cache(maxsize=1)
@@ -147,10 +149,12 @@ def build(samples: dict[str, list[str]], n: int = N, per_language: int = PER_LAN
     return Filters(languages, slots, np.minimum(fill**HASHES, 0.999))
 
 
-def train(labelled: DataFrame, rows: int = SAMPLE_ROWS, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Filters:
-    """Filters from at most ``rows`` rows of each language, those whose ids have the least hashes. Rows without a language,
-    an id or a text are not used."""
+def train(labelled: DataFrame, rows: int = SAMPLE_ROWS, languages: int = LANGUAGES, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Filters:
+    """Filters from at most ``rows`` rows of each language, those whose ids have the least hashes, and of at most ``languages`` languages,
+    those of the most rows (of equal ones the first in alphabetical order). Rows without a language, an id or a text are not used."""
     d = labelled.select(_io.column(labelled, id_col).alias("i"), _io.column(labelled, lang_col).cast("string").alias("l"), _io.column(labelled, text_col).alias("t")).where("i is not null and l is not null and l <> ''")
+    known = d.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(languages).select("l")
+    d = d.join(F.broadcast(known), "l")
     w = Window.partitionBy("l").orderBy(F.xxhash64("i", F.lit(8)), "i")
     chosen = d.select("i", "l").withColumn("r", F.row_number().over(w)).where(F.col("r") <= rows).select("i").distinct()
     out: dict[str, list[str]] = {}

@@ -40,6 +40,7 @@ def uniform(key: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(key, F.lit(f":{seed}"))), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
+@_io.tidy
 def mix(docs: DataFrame, weights: dict[str, float], default_weight: float = 1.0, target_tokens: int | None = None, seed: int = 17, *, copy_col: str | None = "copy", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", broadcast_bytes: int = _io.BROADCAST_BYTES) -> DataFrame:
     """Each document floor(rate) times, and once more with a probability of the rate's fraction.
 

@@ -49,7 +49,7 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.classes(_table(spark, sf_dir, "documents"))
+    return jaccard_join.classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "links")
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -328,6 +328,7 @@ def _finder(shared, low: np.ndarray):
     return F.arrow_udf(find, "long")
 
 
+@_io.tidy
 def shard(docs: DataFrame, target_bytes: int = 32 << 20, *, text_col: str = "text", dimensions: tuple[str, ...] = DIMENSIONS, shard_col: str = "shard", move: bool = True) -> DataFrame:
     """docs and the shard of each row, rows of a shard together (``move=False``: where they were).
 

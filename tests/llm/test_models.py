@@ -202,6 +202,7 @@ def test_more_languages_than_a_word_has_bits(n):
 
 def test_language_of_awkward_rows(spark):
     f = L.train(messy(spark))
+    assert L.train(messy(spark), languages=2).languages == ["en", "fr"] and f.languages == ["de", "en", "fr", "xx"]
     got = L.identify(messy(spark), f).collect()
     assert len(got) == 12 and all(r.lang is None and r.confidence == 0 for r in got if r.doc_id in (2, 3, 4))
     assert L.identify(empty(spark), f).count() == 0 and L.identify(messy(spark), L.build({})).where("lang is not null").count() == 0
