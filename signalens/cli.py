@@ -99,13 +99,24 @@ def _files(kind: str, paths: list[str], out, stdin) -> int:
                 doc |= {"panels": None}
                 doc |= dashboard(dashboards.decode(text))
             else:
-                doc["groups"] = [g | {"rules": [r | {"result": expression(kind, r["expr"])} for r in g["rules"]]} for g in yaml_docs.rule_groups(text)]
+                doc["groups"] = rule_groups(kind, yaml_docs.rule_groups(text))
         except (yaml.YAMLError, ValueError) as e:
             doc["error"] = str(e)
         print(_line(doc), file=out)
     return 0
 
 
+def rule_groups(lang: str, groups: list[dict]) -> list[dict]:
+    """Decoded groups with the references of every rule, or the error; what is empty is left out."""
+
+    def rule(r: dict) -> dict:
+        got = expression(lang, r["expr"])
+        error = got.pop("error", "")
+        return {k: v for k, v in r.items() if v and k != "expr"} | {"result": got} | ({"error": error} if error else {})
+
+    return [{"name": g["name"]} | ({"interval": g["interval"]} if g["interval"] else {}) | {"rules": [rule(r) for r in g["rules"]]} for g in groups]
+
+
 def dashboard(d: dict) -> dict:
     """A decoded dashboard with the language, the variables and the references of every target and variable; what is empty is left out."""
     filled = lambda x: {k: v for k, v in x.items() if v or k in ("language", "expr", "name")}

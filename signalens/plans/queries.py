@@ -3,13 +3,16 @@ compared with what the same columns say. The SQL never parses anything, so the t
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable
 from datetime import datetime, timezone
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from signalens import cli
 from signalens.functions import rules as R
 from signalens.functions.extract import logql_extract, promql_extract, register, traceql_extract
 from signalens.functions.wrappers import unwrap_variable_query
@@ -18,10 +21,13 @@ from signalens.operators import findings as fd
 from signalens.plans import report
 from signalens.operators.tables import new_path, written
 from signalens.plans.validate import Inputs, Settings, extracted, parse_findings, validate
-from signalens.sources import allowlist
+from signalens.sources import allowlist, yaml_docs
+from signalens.sources import catalog as cat_source
+from signalens.sources import dashboards as boards
 from signalens.sources import documents as docs
 from signalens.sources.allowlist import Allowlist
 from signalens.sources.catalog import Tables
+from signalens.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -657,3 +663,168 @@ def validate_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = validate(spark, Inputs([f"{root}/rules"], [], [f"{root}/boards"]), Settings(catalog=catalog))
     found = r.findings.where("code <> 'E001_PROMQL_PARSE_ERROR'").select("code", F.regexp_replace("source.file", r"^.*/files/(rules|boards)/", "").alias("file"), F.when(F.col("source.file").contains("/boards/"), "dashboard").otherwise("promql").alias("kind"))
     return found.unionByName(spark.createDataFrame([("scanned", str(n), k) for k, n in r.files_by_kind.items()], "code string, file string, kind string"))
+
+
+# what is written out, and single rules
+
+
+def _mapped(df: DataFrame, f, schema: str) -> DataFrame:
+    """f of a pandas frame to a list of rows, in batches."""
+
+    def part(frames):
+        for x in frames:
+            yield pd.DataFrame(f(x), columns=[c.split()[0] for c in schema.split(", ")])
+
+    return df.mapInPandas(part, schema)
+
+
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN '{"expr": "' || e || '", "metricRefs": ["' || event_type || '"], "selectors": [{"metric": "' || event_type || '", "label": "u", "op": "=", "value": "' || user_id || '"}], "atModifiers": null, "functions": ["rate"]}'
+WHEN 1 THEN '{"expr": "' || e || '", "streamSelectors": [{"label": "u", "op": "=", "value": "' || user_id || '"}], "lineFilters": null, "labelFilters": null, "parsers": ["logfmt"], "functions": null}'
+ELSE '{"expr": "' || e || '", "attributes": [{"scope": "span", "parent": false, "name": "u' || user_id || '"}]}' END AS line
+FROM (SELECT *, CASE event_id % 3 WHEN 0 THEN 'rate(' || event_type || '{u=' || chr(92) || '"' || user_id || chr(92) || '"}[5m])' WHEN 1 THEN '{u=' || chr(92) || '"' || user_id || chr(92) || '"} | logfmt' ELSE '{ span.u' || user_id || ' = 1 }' END AS e FROM events)""")
+def emit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON lines of the extraction commands, in all three languages."""
+    k = F.col("event_id") % 3
+    e = F.when(k == 0, cat("rate(", "`event_type`", '{u="', "`user_id`", '"}[5m])')).when(k == 1, cat('{u="', "`user_id`", '"} | logfmt')).otherwise(cat("{ span.u", "`user_id`", " = 1 }"))
+    df = _t(spark, sf_dir, "events").select("event_id", F.when(k == 0, "promql").when(k == 1, "logql").otherwise("traceql").alias("lang"), e.alias("e"))
+    return _mapped(df, lambda x: [(i, json.dumps(cli.expression(lang, e), ensure_ascii=False)) for i, lang, e in zip(x.event_id, x.lang, x.e, strict=True)], "event_id long, line string")
+
+
+@query(f"""WITH {RULES_SQL} SELECT path, CAST(group_pos AS INTEGER) AS group_pos, CAST(rule_pos AS INTEGER) AS rule_pos, alert, p_size || 'm' AS wait, CASE WHEN p_retailprice >= 950 THEN 'part_total' END AS metric, CASE WHEN p_retailprice < 950 THEN 'empty expression' END AS error FROM rules""")
+def emit_rule_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON object of the rule-file command, a file a line, taken apart again."""
+
+    def lines(x):
+        return [(p, json.dumps({"groups": cli.rule_groups("promql", yaml_docs.rule_groups(c))})) for p, c in zip(x.path, x.content, strict=True)]
+
+    rule = "struct<alert:string,`for`:string,error:string,result:struct<metricRefs:array<string>>>"
+    doc = _mapped(rule_files(spark, sf_dir).select("path", "content"), lines, "path string, doc string").select("path", F.from_json("doc", f"groups array<struct<name:string,rules:array<{rule}>>>").alias("d"))
+    rules = doc.select("path", F.posexplode("d.groups").alias("group_pos", "g")).select("path", "group_pos", F.posexplode("g.rules").alias("rule_pos", "r"))
+    return rules.select("path", "group_pos", "rule_pos", "r.alert", F.col("r.for").alias("wait"), F.try_element_at("r.result.metricRefs", F.lit(1)).alias("metric"), F.col("r.error").alias("error"))
+
+
+@query(f"""WITH {PANELS_SQL} SELECT path, nullif(c_custkey, 0) AS id, CASE WHEN c_mktsegment IN ('AUTOMOBILE', 'MACHINERY') THEN 'logql' ELSE 'promql' END AS language, CASE WHEN c_mktsegment IN ('AUTOMOBILE', 'MACHINERY') THEN 'app,word' ELSE 'job' END AS variables,
+CASE WHEN c_mktsegment NOT IN ('AUTOMOBILE', 'MACHINERY') THEN 'cust_total' END AS metric, CASE WHEN c_mktsegment IN ('AUTOMOBILE', 'MACHINERY') THEN 2 ELSE 0 END AS streams, 'up' AS variable_metric FROM panels""")
+def emit_dashboards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON object of the dashboard command, a file a line, taken apart again."""
+
+    def lines(x):
+        return [(p, json.dumps(cli.dashboard(boards.decode(c)))) for p, c in zip(x.path, x.content, strict=True)]
+
+    target = "struct<language:string,expr:string,variables:array<string>,promql:struct<metricRefs:array<string>>,logql:struct<streamSelectors:array<struct<label:string>>>,error:string>"
+    doc = _mapped(dashboard_files(spark, sf_dir).select("path", "content"), lines, "path string, doc string")
+    doc = doc.select("path", F.from_json("doc", f"panels array<struct<id:bigint,targets:array<{target}>>>, variables array<{target}>").alias("d"))
+    t = doc.select("path", F.col("d.variables")[0]["promql"]["metricRefs"][0].alias("variable_metric"), F.explode("d.panels").alias("p")).select("path", "variable_metric", "p.id", F.explode("p.targets").alias("t")).where("t.error is null")
+    return t.select("path", "id", "t.language", F.array_join("t.variables", ",").alias("variables"), F.try_element_at("t.promql.metricRefs", F.lit(1)).alias("metric"), F.coalesce(F.size("t.logql.streamSelectors"), F.lit(0)).alias("streams"), "variable_metric")
+
+
+@query("SELECT DISTINCT event_type, '?match%5B%5D=%7B__name__%3D%22' || event_type || '%22%7D&match%5B%5D=up' AS params FROM events")
+def match_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _t(spark, sf_dir, "events").select("event_type").distinct()
+    return _mapped(names, lambda x: [(n, cat_source.match_query([cat_source.scope(n), "", "up"])) for n in x.event_type], "event_type string, params string")
+
+
+@query("SELECT p_partkey, CASE WHEN n > 512 THEN repeat('x', 512) || '…' ELSE repeat('x', n) END AS body FROM (SELECT p_partkey, CAST(480 + p_size AS INTEGER) AS n FROM part)")
+def error_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies of failed requests, cut at 512 bytes."""
+    return _mapped(_t(spark, sf_dir, "part").select("p_partkey", F.expr("repeat('x', 480 + p_size)").alias("b")), lambda x: [(k, cat_source.cut_body(b.encode())) for k, b in zip(x.p_partkey, x.b, strict=True)], "p_partkey long, body string")
+
+
+@query("""SELECT p_partkey, p_size % 2 = 0 AND p_size % 3 <> 0 AND p_size % 5 <> 0 AND p_size % 7 <> 0 AND p_size >= 10 AND (p_size % 11 <> 0 OR p_size % 4 = 0) AS ok FROM part""")
+def entries_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cache entries of which some lack a query, a source, a language, a time or a result, or have another version or a negative lifetime."""
+
+    def one(n: int) -> bool:
+        e = cat_source.Entry("" if n % 3 == 0 else "q", "sql" if n % 5 == 0 else "promql", "" if n % 7 == 0 else "s", 1.0, -1 if n < 10 else 0, None if n % 11 == 0 else [], 1 if n % 2 == 0 else 2, "e" if n % 4 == 0 else "")
+        try:
+            e.validate()
+        except ValueError:
+            return False
+        return True
+
+    return _mapped(_t(spark, sf_dir, "part").select("p_partkey", "p_size"), lambda x: [(k, one(int(n))) for k, n in zip(x.p_partkey, x.p_size, strict=True)], "p_partkey long, ok boolean")
+
+
+@query("SELECT p_partkey, p_size % 4 IN (0, 1, 2) AS relevant FROM part")
+def relevant_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose changes count: by extension, in any letter case."""
+    name = cat("d.yaml/f", "`p_partkey`", F.element_at(F.array(*[F.lit(x) for x in (".yaml", ".YML", ".Json", ".yaml.bak")]), (F.col("p_size") % 4 + 1).cast("int")))
+    return _mapped(_t(spark, sf_dir, "part").select("p_partkey", name.alias("n")), lambda x: [(k, watch.relevant(n)) for k, n in zip(x.p_partkey, x.n, strict=True)], "p_partkey long, relevant boolean")
+
+
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN '::error title=C::m%25 %0A' WHEN 1 THEN '::warning title=C::m%25 %0A' WHEN 2 THEN '::notice title=C::m%25 %0A' END AS line FROM part""")
+def report_github_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severities have commands of their own; one that has none gives no line."""
+    p = _t(spark, sf_dir, "part").select("p_partkey", F.element_at(F.array(*[F.lit(x) for x in ("error", "warning", "info", "off")]), (F.col("p_size") % 4 + 1).cast("int")).alias("s"))
+    f = fd.make(p, "C", "x", F.lit("m% \n"), severity=F.col("s"), file=None, seq="p_partkey")
+    return f.select(F.col("seq").alias("p_partkey"), report.github_line().alias("line"))
+
+
+@query(f"WITH {ALL_LINT_SQL} SELECT concat_ws(chr(9), severity, code, category, file, '0', grp, rule, message) AS line FROM found")
+def report_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report written in parts, and read."""
+    folder = new_path(spark, "report")
+    report.write(fd.ordered(_all_lint(spark, sf_dir)), "tsv", folder)
+    return spark.read.text(folder).withColumnRenamed("value", "line")
+
+
+class _Series:
+    """Clients of both kinds over (metric, user) pairs."""
+
+    def __init__(self, pairs: list[tuple[str, str]]):
+        self.by: dict[str, list[str]] = {}
+        for m, u in pairs:
+            self.by.setdefault(m, []).append(u)
+
+    def metric_names(self) -> list[str]:
+        return list(self.by)
+
+    def label_names(self, matchers: list[str] | None = None) -> list[str]:
+        return ["user"] if matchers is None or matchers[0][len('{__name__="') : -2] in self.by else []
+
+    def label_values(self, label: str, matchers: list[str] | None = None) -> list[str]:
+        return ["web", "api", "web"] if matchers is None else self.by.get(matchers[0][len('{__name__="') : -2], []) if label == "user" else []
+
+
+def _snapshot(spark: SparkSession, sf_dir: str) -> tuple[Tables, str]:
+    """A catalog of events read through clients and a file store: for metrics of clicks and purchases what they have, for others nothing."""
+    root = new_path(spark, "cache").removeprefix("file://")
+    e = _t(spark, sf_dir, "events").select("event_type", F.concat(F.lit("u"), F.col("user_id") % 10).alias("u")).distinct()
+    pairs = [(r.event_type, r.u) for r in e.where("event_type in ('click', 'purchase')").collect()]  # ten users a type
+    plan = e.select(F.lit("promql").alias("lang"), F.explode(F.array(F.lit("names"), F.lit("labels"), F.lit("values"))).alias("task"), F.col("event_type").alias("metric"), F.lit("user").alias("label"))
+    plan = plan.select("lang", "task", F.when(F.col("task") == "names", "").otherwise(F.col("metric")).alias("metric"), F.when(F.col("task") == "values", F.col("label")).otherwise("").alias("label")).distinct()
+    plan = plan.unionByName(spark.createDataFrame([("logql", "labels", "", ""), ("logql", "values", "", "app")], plan.schema))
+    client = _Series(pairs)
+    made = lambda: cat_source.Catalog(client, client, prometheus_source="http://p", loki_source="http://l", store=cat_source.FileStore(root), clock=lambda: 1700000000.0)
+    made().snapshot(spark, plan)
+    client.by = {k: [] for k in client.by}  # what is cached is not asked for again
+    return made().snapshot(spark, plan), root
+
+
+_SERIES_SQL = "s AS (SELECT DISTINCT event_type AS metric, 'u' || user_id % 10 AS u FROM events WHERE event_type IN ('click', 'purchase'))"
+
+
+@query(f"""WITH {_SERIES_SQL} SELECT DISTINCT 'metrics' AS kind, metric, NULL AS label, NULL AS value FROM s UNION ALL SELECT DISTINCT 'labels', metric, 'user', NULL FROM s UNION ALL SELECT 'values', metric, 'user', u FROM s
+UNION ALL SELECT 'stream_labels', NULL, 'user', NULL UNION ALL SELECT 'stream_values', NULL, 'app', v FROM (VALUES ('api'), ('web')) t(v)""")
+def catalog_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of a catalog that was asked twice, the second time from its cache."""
+    t, _ = _snapshot(spark, sf_dir)
+    out, none = None, F.lit(None).cast("string")
+    for kind in ("metrics", "labels", "values", "stream_labels", "stream_values"):
+        df = getattr(t, kind)
+        part = df.select(F.lit(kind).alias("kind"), *[F.col(c) if c in df.columns else none.alias(c) for c in ("metric", "label", "value")])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(f"""WITH {_SERIES_SQL}, k AS (SELECT 'promql' AS language, 'http://p' AS source, '__all_metric_names__' AS query, (SELECT string_agg(DISTINCT metric, ',' ORDER BY metric) FROM s) AS held
+UNION ALL SELECT DISTINCT 'promql', 'http://p', '__metric_labels__:' || event_type, CASE WHEN event_type IN ('click', 'purchase') THEN 'user' ELSE '' END FROM events
+UNION ALL SELECT 'promql', 'http://p', '__metric_label_values__:' || e.t || ':user', 'user=' || coalesce((SELECT string_agg(u, ',' ORDER BY u) FROM s WHERE metric = e.t), '') FROM (SELECT DISTINCT event_type AS t FROM events) e
+UNION ALL SELECT 'logql', 'http://l', '__all_label_names__', 'user' UNION ALL SELECT 'logql', 'http://l', '__stream_label_values__:app', 'app=api,web')
+SELECT sha256(language || chr(10) || source || chr(10) || query) AS key, language, source, query, 3600 AS ttl_seconds, held FROM k""")
+def catalog_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored entries as a table: names, labels, or values by label, each sorted and without repetitions."""
+    _, root = _snapshot(spark, sf_dir)
+    c, r = cat_source.cache_table(spark, f"file://{root}"), "result."
+    by_label = F.array_join(F.transform(F.map_entries(r + "label_values"), lambda x: F.concat(x["key"], F.lit("="), F.array_join(x["value"], ","))), ";")
+    return c.where("fetched_at = timestamp_seconds(1700000000)").select("key", "language", "source", "query", "ttl_seconds", F.coalesce(F.array_join(r + "metric_names", ","), F.array_join(r + "label_names", ","), by_label).alias("held"))

@@ -21,8 +21,11 @@ from datetime import datetime, timezone
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from signalens.functions import rules as R
+
 TTL_SECONDS, TIMEOUT_S, MAX_BODY, MAX_ERROR, SCHEMA_VERSION = 3600, 30, 32 << 20, 512, 1
 NAMES, LABEL_NAMES, METRIC_LABELS, METRIC_VALUES, STREAM_VALUES = "__all_metric_names__", "__all_label_names__", "__metric_labels__:{}", "__metric_label_values__:{}:{}", "__stream_label_values__:{}"
 
@@ -217,6 +220,18 @@ class FileStore:
         return sorted(out)
 
 
+ENTRY = (
+    "schema_version int, query string, language string, source string, fetched_at timestamp, ttl_seconds int, "
+    "result struct<metric_names:array<string>,label_names:array<string>,label_values:map<string,array<string>>,series_count:int>, error string"
+)
+
+
+def cache_table(spark: SparkSession, root: str) -> DataFrame:
+    """The entries in a file store as rows (key and what is stored), so that checks can join with a cache of any size."""
+    raw = spark.read.schema(ENTRY).option("multiLine", True).option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).json(f"{root.rstrip('/')}/v1")
+    return raw.select(R.cache_key(F.col("language"), F.col("source"), F.col("query")).alias("key"), *raw.columns)
+
+
 @dataclass
 class Tables:
     """A snapshot; None where there is no client for the language, whose checks are then left out."""
