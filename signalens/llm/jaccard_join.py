@@ -67,26 +67,44 @@ def level(b: int, t: float) -> tuple[int, float, int]:
     return segments, share, (1 << 64) - 1 if share == 1.0 else int(share * (1 << 64))
 
 
-def sketch(u: np.ndarray, b: int, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the segments of a set's sketch in band b, and the folded sketch. u: its sorted hashes."""
-    segments, _, below = level(b, t)
-    s = _text.mix(u[: np.searchsorted(u, np.uint64(below), "right")] + np.uint64(b))
-    seg = (s % np.uint64(segments)).astype(np.int64)
-    order = np.argsort(seg, kind="stable")
-    seg, s = seg[order], s[order]
-    at = np.flatnonzero(np.diff(seg, prepend=-1))
-    digest = np.bitwise_xor.reduceat(s, at) if len(at) else s
+def sketches(sets: list[np.ndarray], bands: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of many sets (their sorted hashes) in a band each: keys of the segments of their sketches, how many keys each has, and the
+    folded sketches. A set in a negative band has none."""
+    n = len(sets)
+    size = np.array([len(u) for u in sets], dtype=np.int64)
+    kinds, at = np.unique(np.maximum(bands, 0), return_inverse=True)
+    levels = [level(int(b), t) for b in kinds]
+    segments, below = np.array([x[0] for x in levels], dtype=np.uint64)[at], np.array([x[2] for x in levels], dtype=np.uint64)[at]
+    flat = np.concatenate(sets) if n else np.empty(0, np.uint64)
+    of = np.repeat(np.arange(n), size)
+    sampled = np.flatnonzero((flat <= below[of]) & (bands >= 0)[of])
+    of = of[sampled]
+    band = bands.astype(np.uint64)[of]
+    s = _text.mix(flat[sampled] + band)
+    place = of * 4096 + (s % segments[of]).astype(np.int64)
+    order = np.argsort(place, kind="stable")
+    place = place[order]
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    digest = np.bitwise_xor.reduceat(s[order], first) if len(first) else s[:0]
+    owner = place[first] // 4096
     with np.errstate(over="ignore"):
-        keys = _text.mix(digest ^ (np.uint64(b * 4096) + seg[at].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15))
-    bits = np.bincount((s >> np.uint64(40)).astype(np.int64) % FOLD, minlength=FOLD) & 1
-    return keys.view(np.int64), np.packbits(bits.astype(np.uint8)).view(np.int64)
+        keys = _text.mix(digest ^ (bands.astype(np.uint64)[owner] * np.uint64(4096) + (place[first] % 4096).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15))
+    bits = np.bincount(of * FOLD + (s >> np.uint64(40)).astype(np.int64) % FOLD, minlength=n * FOLD).reshape(n, FOLD) & 1
+    return keys.view(np.int64), np.bincount(owner, minlength=n), np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
+
+
+def sketch(u: np.ndarray, b: int, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the segments of a set's sketch in band b, and the folded sketch."""
+    keys, _, folded = sketches([u], np.array([b]), t)
+    return keys, folded[0]
 
 
-def set_hash(u: np.ndarray) -> tuple[int, int]:
-    """128 bits by which sets are equal."""
+def set_hashes(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each set (none is empty) by which sets are equal."""
+    size = np.array([len(u) for u in sets], dtype=np.uint64)
+    flat, first = np.concatenate(sets), np.concatenate([[0], np.cumsum(size.astype(np.int64))[:-1]])
     with np.errstate(over="ignore"):
-        x = np.array([np.bitwise_xor.reduce(_text.mix(u + np.uint64(c))) + np.uint64(len(u)) * np.uint64(0x9E3779B97F4A7C15) for c in (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)], dtype=np.uint64)
-    return tuple(x.view(np.int64).tolist())
+        return tuple((np.bitwise_xor.reduceat(_text.mix(flat + np.uint64(c)), first) + size * np.uint64(0x9E3779B97F4A7C15)).view(np.int64) for c in (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D))
 
 
 _SKETCH = ("size", "band", "own", "low", "f_own", "f_low")
@@ -101,26 +119,23 @@ def _rows(docs: DataFrame, n: int, t: float, id_col: str, text_col: str) -> Data
     the one below."""
     kind = docs.schema[id_col].dataType.simpleString()
     d = docs.select(_io.column(docs, id_col).alias("id"), F.xxhash64(_io.column(docs, text_col)).alias("th"), _io.column(docs, text_col).alias("text"))
-    none = np.empty(0, np.int64)
-
     def part(batches):
         for rb in _io.slices(batches):
-            h1, h2, size, band, own, low, f_own, f_low = [], [], [], [], [], [], [], []
-            for u in _text.gram_sets(rb.column(2).to_pylist(), n):
-                b = band_of(len(u), t)
-                x, y = set_hash(u) if len(u) else (None, None)
-                h1.append(x)
-                h2.append(y)
-                size.append(len(u))
-                band.append(b)
-                k, f = sketch(u, b, t) if len(u) else (none, none)
-                own.append(k)
-                f_own.append(f)
-                k, f = sketch(u, b - 1, t) if b and len(u) else (none, f)
-                low.append(k)
-                f_low.append(f)
-            longs = lambda x: pa.array(x, pa.int64())
-            yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), longs(h1), longs(h2), longs(size), longs(band), *[_lists(x) for x in (own, low, f_own, f_low)]], names=["id", "th", "h1", "h2", *_SKETCH])
+            sets = list(_text.gram_sets(rb.column(2).to_pylist(), n))
+            size = np.array([len(u) for u in sets], dtype=np.int64)
+            has = np.flatnonzero(size)
+            band = np.searchsorted(_edges(t), size)
+            hashes = np.zeros((2, len(sets)), dtype=np.int64)
+            if len(has):
+                hashes[:, has] = set_hashes([sets[i] for i in has])
+            own, n_own, f_own = sketches(sets, np.where(size > 0, band, -1), t)
+            low, n_low, f_low = sketches(sets, np.where(size > 0, band - 1, -1), t)
+            lists = lambda x, count: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(x))
+            four = np.full(len(sets), 4)
+            yield pa.RecordBatch.from_arrays(
+                [rb.column(0), rb.column(1), *[pa.array(h, mask=size == 0) for h in hashes], pa.array(size), pa.array(band.astype(np.int64)), lists(own, n_own), lists(low, n_low), lists(f_own.ravel(), four), lists(f_low.ravel(), four)],
+                names=["id", "th", "h1", "h2", *_SKETCH],
+            )
 
     return d.mapInArrow(part, f"id {kind}, th long, h1 long, h2 long, size long, band long, own array<long>, low array<long>, f_own array<long>, f_low array<long>")
 
