@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from signalens.operators.tables import drop, new_path, numbered, scratch, shared_dir, tidy, written
 
-__all__ = ["BROADCAST_BYTES", "column", "drop", "hinted", "is_small", "new_path", "numbered", "scratch", "shared_dir", "slices", "tidy", "written"]
+__all__ = ["BROADCAST_BYTES", "column", "count_of", "drop", "hinted", "is_small", "new_path", "numbered", "scratch", "shared_dir", "slices", "tidy", "written"]
 
 #: A side of a join is broadcast only if its rows, decoded, take at most this much; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
@@ -44,6 +44,11 @@ def hinted(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if is_small(df) else df
 
 
+def count_of(text, characters: str):
+    """How many of a text's characters are among these (a pattern is a third of the time of translate())."""
+    return F.regexp_count(text, F.lit("[" + "".join("\\" + c if c in "\\[]^-&~" else c for c in characters) + "]"))
+
+
 def column(df: DataFrame, name: str):
     """The column of exactly this name, whatever characters are in it."""
     return df["`" + name.replace("`", "``") + "`"]

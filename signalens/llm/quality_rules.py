@@ -48,13 +48,12 @@ def _measures(text: Column) -> tuple[list[tuple[str, Column]], dict[str, Column]
     """Shared expressions, in an order in which each may use those before it, and the measures over them."""
     t = F.coalesce(text, F.lit(""))
     shared = [
-        ("_pad", F.concat(F.lit(" "), F.regexp_replace(F.lower(t), BREAKS, "  "), F.lit(" "))),
-        ("_len", F.length(F.regexp_replace(t, r"[ \t\n\r\f\x0B]+", ""))),
-        ("_sym", F.length(t) - F.length(F.translate(t, SYMBOLS, ""))),
-        ("_cap", F.length(t) - F.length(F.translate(t, CAPITALS, ""))),
+        ("_len", F.length(t) - _io.count_of(t, " \t\n\r\f\x0b")),
+        ("_sym", _io.count_of(t, SYMBOLS)),
+        ("_cap", _io.count_of(t, CAPITALS)),
         ("_lines", F.array_remove(F.split(t, "\n"), "")),
-        ("_words", F.array_remove(F.split(F.trim("_pad"), "  "), "")),
-        ("_stop", F.regexp_count("_pad", F.lit(" (" + "|".join(STOP_WORDS) + ") "))),
+        ("_words", F.array_remove(F.split(F.lower(t), BREAKS), "")),
+        ("_stop", F.size(F.filter("_words", lambda w: w.isin(*STOP_WORDS)))),
     ]
     ratio = lambda a, b: F.when(b > 0, a.cast("double") / b).otherwise(0.0)
     words = F.size("_words")

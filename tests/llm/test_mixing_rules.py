@@ -5,8 +5,9 @@ from collections import Counter
 
 import pytest
 from common import empty, messy, prose
+from pyspark.sql import functions as F
 
-from signalens.llm import mixing, quality_rules
+from signalens.llm import _io, mixing, quality_rules
 
 
 def test_mixing_against_brute_force(spark):
@@ -79,4 +80,11 @@ def test_rules_on_awkward_rows(spark):
 
 def test_each_measure_is_evaluated_once(spark):
     plan = quality_rules.apply(messy(spark))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("translate(") <= 4
+    assert plan.count("regexp_count(") <= 6
+
+
+def test_counts_of_characters(spark):
+    chars = quality_rules.SYMBOLS + "]-^&&\\ \t\x0b"
+    texts = ["", "a-b]c^d&e\\f g\th\x0bi~[{}]", chars * 3, "É€😀-" + chars[::-1], "abc"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(_io.count_of(F.col("t"), chars)).collect()] == [sum(c in chars for c in t) for t in texts]
