@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,21 +38,29 @@ def extract_row(lang: str, expr: str | None) -> tuple:
     return (expr, *[got[f] if names is None else [dict(zip(names, x, strict=True)) for x in got[f]] for f, names in fields.items()], None)
 
 
-def _batch(lang: str, exprs: pd.Series) -> pd.DataFrame:
-    names = ["expr", *_FIELDS[lang][1], "error"]
-    rows = [extract_row(lang, e) for e in exprs]
-    return pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype=object) for i, n in enumerate(names)})
+def _fields(lang: str) -> list[pa.Field]:
+    kinds = {"parent": pa.bool_()}
+    out = [pa.field("expr", pa.string())]
+    for name, parts in _FIELDS[lang][1].items():
+        item = pa.struct([(p, kinds.get(p, pa.string())) for p in parts]) if parts else pa.float64() if name == "atModifiers" else pa.string()
+        out.append(pa.field(name, pa.list_(item)))
+    return [*out, pa.field("error", pa.string())]
+
+
+def _batch(lang: str, exprs: pa.Array) -> pa.Array:
+    rows, fields = [extract_row(lang, e) for e in exprs.to_pylist()], _fields(lang)
+    return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)], fields=fields)
 
 
 @lru_cache(maxsize=3)
 def _udf(lang: str):
     """Made when first used: workers import this module without a session."""
 
-    def run(expr: pd.Series) -> pd.DataFrame:
+    def run(expr: pa.Array) -> pa.Array:
         return _batch(lang, expr)
 
-    run.__annotations__ = {"expr": pd.Series, "return": pd.DataFrame}
-    return F.pandas_udf(run, SCHEMAS[lang])
+    run.__annotations__ = {"expr": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, SCHEMAS[lang])
 
 
 def promql_extract(expr: Column | str) -> Column:

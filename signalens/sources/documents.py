@@ -10,9 +10,12 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from signalens.functions import rules as R
 from signalens.functions.extract import logql_extract, promql_extract
@@ -72,32 +75,41 @@ def contents(paths: DataFrame) -> DataFrame:
     return paths.mapInPandas(read, CONTENT)
 
 
+def _arrow(ddl: str) -> pa.Schema:
+    return to_arrow_schema(T.StructType.fromDDL(ddl))
+
+
+def _batch(rows: list[tuple], kinds: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
+
+
 def decoded_rules(files: DataFrame) -> DataFrame:
     """One row a rule; one with file_error for a file that is unreadable or no rule file; one without a rule for an empty group."""
 
-    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0].strip("`") for c in RULES.split(", ")]
-        for df in frames:
+    kinds = _arrow(RULES)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
             rows = []
-            for f in df.itertuples():
-                head = (f.kind, f.file_pos, f.path)
-                if f.read_error is not None:
-                    rows.append((*head, *[None] * 10, f"cannot read file: {f.read_error}"))
+            for kind, pos, path, content, error in zip(*[c.to_pylist() for c in rb.columns], strict=True):
+                head = (kind, pos, path)
+                if error is not None:
+                    rows.append((*head, *[None] * 10, f"cannot read file: {error}"))
                     continue
                 try:
-                    groups = Y.rule_groups(f.content)
+                    groups = Y.rule_groups(content)
                 except (yaml.YAMLError, Y.ShapeError, ValueError, RecursionError) as e:
                     rows.append((*head, *[None] * 10, f"rule file YAML invalid: {' '.join(str(e).split())}"))
                     continue
                 for i, g in enumerate(groups):
                     for j, r in enumerate(g["rules"]):
-                        rows.append((*head, i, j, g["name"], g["interval"], r["record"], r["alert"], r["expr"], r["for"], r["labels"], r["annotations"], None))
+                        rows.append((*head, i, j, g["name"], g["interval"], r["record"], r["alert"], r["expr"], r["for"], list(r["labels"].items()), list(r["annotations"].items()), None))
                     if not g["rules"]:
                         rows.append((*head, i, None, g["name"], g["interval"], *[None] * 7))
-            out = pd.DataFrame(rows, columns=columns, dtype=object)
-            yield out.astype({"file_pos": "Int32", "group_pos": "Int32", "rule_pos": "Int32"})
+            yield _batch(rows, kinds)
 
-    return files.where("kind in ('promql', 'logql')").mapInPandas(decode, RULES)
+    return files.where("kind in ('promql', 'logql')").select("kind", "file_pos", "path", "content", "read_error").mapInArrow(decode, RULES)
 
 
 def rule_table(files: DataFrame) -> DataFrame:
@@ -110,16 +122,17 @@ def rule_table(files: DataFrame) -> DataFrame:
 def decoded_dashboards(files: DataFrame) -> DataFrame:
     """One row a panel, target and variable (item), or one with file_error."""
 
-    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in ITEMS.split(", ")]
-        for df in frames:
+    kinds = _arrow(ITEMS)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
             rows = []
-            for f in df.itertuples():
-                head = (f.file_pos, f.path)
+            for pos, path, content, error in zip(*[c.to_pylist() for c in rb.columns], strict=True):
+                head = (pos, path)
                 try:
-                    if f.read_error is not None:
-                        raise OSError(f"cannot read file: {f.read_error}")
-                    d = D.decode(f.content)
+                    if error is not None:
+                        raise OSError(f"cannot read file: {error}")
+                    d = D.decode(content)
                 except OSError as e:
                     rows.append((*head, None, None, "unreadable", *[None] * 9, str(e)))
                     continue
@@ -132,9 +145,9 @@ def decoded_dashboards(files: DataFrame) -> DataFrame:
                     rows.append((*head, "panel", *panel, None, None, None, p["datasource"], None, None))
                     rows += [(*head, "target", *panel, j, t["ref_id"], None, t["datasource"], t["expr"], None) for j, t in enumerate(p["targets"])]
                 rows += [(*head, "variable", None, None, None, None, j, None, v["name"], v["datasource"], v["query"], None) for j, v in enumerate(d["variables"])]
-            yield pd.DataFrame(rows, columns=columns, dtype=object).astype({"file_pos": "Int32", "panel_pos": "Int32", "panel_id": "Int64", "pos": "Int32"})
+            yield _batch(rows, kinds)
 
-    return files.where("kind = 'dashboard'").mapInPandas(decode, ITEMS)
+    return files.where("kind = 'dashboard'").select("file_pos", "path", "content", "read_error").mapInArrow(decode, ITEMS)
 
 
 def dashboard_table(files: DataFrame) -> DataFrame:
