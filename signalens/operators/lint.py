@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalens.functions import rules as R
 from signalens.operators import findings as f
+from signalens.operators import tables
 
 
 @dataclass(frozen=True)
@@ -35,15 +36,14 @@ def lint(rules: DataFrame, config: Config = Config()) -> list[DataFrame]:
     left out.
 
     Duplicates are every alert after the first of its name, with the place of the first: metric rules before log rules, then in
-    order of file, group and rule. Names alone are brought together for that; rules without one stay spread.
+    order of file, group and rule. For them what the pass found is a table, so that rules are not decoded again.
     """
     if config.is_zero:
         config = Config()
     r, alert, found = rules.where("rule_pos is not null"), F.col("alert") != "", []
-    s = lambda c: F.coalesce(F.col(c), F.lit(""))
 
-    def add(when, code: str, severity: str, message, label=None, seq=None) -> None:
-        found.append(F.when(when, F.struct(F.lit(f.CODES[code]).alias("code"), F.lit(severity).alias("severity"), message.alias("message"), F.lit(label or "").alias("label"), (F.lit(0) if seq is None else seq).cast("long").alias("seq"))))
+    def add(when, code: str, severity: str, message, label=None) -> None:
+        found.append(F.when(when, F.struct(F.lit(f.CODES[code]).alias("code"), F.lit(severity).alias("severity"), message.alias("message"), F.lit(label or "").alias("label"), F.lit(0).cast("long").alias("seq"))))
 
     if config.empty_expr:
         add(R.stripped(F.col("expr")) == "", "empty", "warning", F.lit("rule expression is empty"))
@@ -57,13 +57,21 @@ def lint(rules: DataFrame, config: Config = Config()) -> list[DataFrame]:
         add(alert & (F.col("for_ms") < F.col("interval_ms")), "for", "error" if config.for_lt_interval == "error" else "warning", msg)
     own = F.array_compact(F.array(*found)) if found else F.array().cast(FOUND)
     each = r.select("path", "group", "rule", "alert", "kind", "file_pos", "group_pos", "rule_pos", own.alias("own"))
+    made = lambda x: f.make(x, F.col("code"), "lint", F.col("message"), severity=F.col("severity"), group="group", rule="rule", label="label", seq="seq")
     if config.duplicate_alerts:
-        apart = F.when(s("alert") == "", F.xxhash64("path", "group_pos", "rule_pos"))
-        w = Window.partitionBy("alert", apart).orderBy(F.when(F.col("kind") == "promql", 0).otherwise(1), "file_pos", "group_pos", "rule_pos")
-        place = F.when(F.col("group") != "", F.concat("path", F.lit(":"), "group")).otherwise(F.col("path"))
-        each = each.withColumn("nth", F.row_number().over(w)).withColumn("first_place", F.first(place).over(w))
-        found = []
-        add(alert & (F.col("nth") > 1), "duplicate", "error", F.concat(F.lit("alert name `"), "alert", F.lit("` is also defined at "), "first_place"), seq=F.col("nth"))
-        each = each.withColumn("own", F.concat("own", F.array_compact(F.array(*found))))
-    rows = each.select("path", "group", "rule", F.explode("own").alias("x")).select("path", "group", "rule", "x.*")
-    return [f.make(rows, F.col("code"), "lint", F.col("message"), severity=F.col("severity"), group="group", rule="rule", label="label", seq="seq")]
+        each = tables.written(each, "lint")
+    rows = [made(each.select("path", "group", "rule", F.explode("own").alias("x")).select("path", "group", "rule", "x.*"))]
+    return rows + [made(duplicates(each))] if config.duplicate_alerts else rows
+
+
+def duplicates(rules: DataFrame) -> DataFrame:
+    """What is to be said of every alert after the first of its name. The first of each name is an aggregate that starts before the
+    shuffle, and goes back by a join of which adaptive execution splits a hot name: no task sees all rules of a name."""
+    at = F.struct(F.when(F.col("kind") == "promql", 0).otherwise(1).alias("of"), "file_pos", "group_pos", "rule_pos")
+    place = F.when(F.col("group") != "", F.concat("path", F.lit(":"), "group")).otherwise(F.col("path"))
+    named = rules.where("alert <> ''").select("path", "group", "rule", "alert", at.alias("at"), place.alias("place"))
+    first = named.groupBy("alert").agg(F.min(F.struct("at", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("alert", "first")
+    again = named.join(first, "alert").where(F.col("at") > F.col("first.at"))
+    message = F.concat(F.lit("alert name `"), "alert", F.lit("` is also defined at "), "first.place")
+    seq = F.shiftleft(F.col("at.group_pos").cast("long"), 32) + F.col("at.rule_pos")
+    return again.select("path", "group", "rule", F.lit(f.CODES["duplicate"]).alias("code"), F.lit("error").alias("severity"), message.alias("message"), F.lit("").alias("label"), seq.alias("seq"))

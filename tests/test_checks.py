@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,3 +201,26 @@ def test_sql_functions(spark):
     register(spark)
     assert spark.sql("""SELECT promql_extract('rate(a{b="c"}[5m])').functions[0]""").first()[0] == "rate"
     assert [tuple(r) for r in spark.sql("""SELECT * FROM promql_selectors('a{b="c"}')""").collect()] == [("a", "b", "=", "c")]
+
+
+def test_duplicates_against_a_loop(spark):
+    """One name in two thirds of the rules, in both languages, a file that is given twice, names that are empty or null."""
+    rng, rows = random.Random(7), []
+    for kind in ("logql", "promql"):
+        for pos, path in enumerate(("a.yaml", "b.yaml", "b.yaml", "c.yaml")):
+            for g in range(3):
+                for r in range(12):
+                    name = rng.choice(["Hot"] * 8 + [None, "", f"once-{kind}-{pos}-{g}-{r}", rng.choice("xyz")])
+                    rows.append((kind, pos, path, g, r, rng.choice(["g", ""]), name, name or "rec"))
+    table = spark.createDataFrame(rows, "kind string, file_pos int, path string, group_pos int, rule_pos int, `group` string, alert string, rule string").repartition(5)
+    first, want = {}, []
+    for kind, _, path, _, _, group, name, rule in sorted(rows, key=lambda x: (x[0] != "promql", *x[1:2], *x[3:5])):
+        if name in first:
+            want.append((path, group, rule, f"alert name `{name}` is also defined at {first[name]}"))
+        elif name:
+            first[name] = f"{path}:{group}" if group else path
+    got = [tuple(r) for r in lint.duplicates(table).select("path", "group", "rule", "message").collect()]
+    assert sorted(got) == sorted(want) and len(want) > 150
+    assert lint.duplicates(table.where("false")).count() == 0
+    by = [r.seq for r in lint.duplicates(table.where("kind = 'promql' and file_pos = 0 and alert = 'Hot'")).orderBy("seq").collect()]
+    assert len(by) == len(set(by))
