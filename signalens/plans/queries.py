@@ -157,7 +157,8 @@ def promql_name_matchers(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = cat('topk(3, {__name__=~"', "`event_type`", '_.*",user!="u', "`user_id`", '"}) or ', "`event_type`", '{kind=~"k.*",zone!~"z', "`user_id`", '|y"}')
     r = _t(spark, sf_dir, "events").select("event_id", promql_extract(e).alias("r")).where("r.error is null and size(r.functions) = 0")
     none = [F.lit(None).cast("string").alias(c) for c in ("label", "op", "value")]
-    return r.select("event_id", F.explode("r.metricRefs").alias("metric"), *none).unionByName(r.select("event_id", F.explode("r.selectors").alias("s")).select("event_id", "s.*"))
+    metrics = F.transform("r.metricRefs", lambda m: F.struct(m.alias("metric"), *none))
+    return r.select("event_id", F.explode(F.concat(metrics, "r.selectors")).alias("s")).select("event_id", "s.*")
 
 
 @query("SELECT o_orderkey, o_orderkey::DOUBLE + s.x AS at FROM orders, (VALUES (0.0::DOUBLE), (0.25::DOUBLE)) s(x)")

@@ -64,7 +64,7 @@ def test_batches_are_rows_one_by_one(lang):
         assert X._batch(lang, pa.array(some, pa.string())).to_pylist() == [dict(zip(names, X.extract_row(lang, e), strict=True)) for e in some]
 
 
-@pytest.mark.parametrize("name", ["promql_functions", "logql_label_filters", "traceql_intrinsics"])
+@pytest.mark.parametrize("name", ["promql_functions", "promql_name_matchers", "logql_label_filters", "traceql_intrinsics"])
 def test_a_query_parses_each_row_once(spark, name):
     from signalens.plans import queries as Q
 
