@@ -21,15 +21,22 @@ SOURCE = ("path", "group", "rule", "panel", "expr")
 
 def references(df: DataFrame, lang: str, result: str = "r") -> tuple[DataFrame, DataFrame]:
     """(metrics, selectors) of PromQL results or (None, stream selectors) of LogQL results, for rows without an error."""
-    ok = df.where(F.col(f"{result}.error").isNull() & F.col(result).isNotNull())
-    here = [F.col(c) for c in SOURCE]
     if lang == "logql":
-        return None, ok.select(*here, F.posexplode(f"{result}.streamSelectors").alias("seq", "s")).select(*SOURCE, "seq", "s.*")
+        return None, _fit(df, result).select(*SOURCE, F.posexplode(f"{result}.streamSelectors").alias("seq", "s")).select(*SOURCE, "seq", "s.*")
+    each = _each(df, result)
+    return each.where("whole").select(*SOURCE, "seq", "metric"), each.where("not whole").drop("whole")
+
+
+def _fit(df: DataFrame, result: str) -> DataFrame:
+    return df.where(F.col(f"{result}.error").isNull() & F.col(result).isNotNull())
+
+
+def _each(df: DataFrame, result: str) -> DataFrame:
+    """Metrics (whole) and selectors of PromQL results."""
     none = F.lit("")
     m = F.transform(f"{result}.metricRefs", lambda x, i: F.struct(F.lit(True).alias("whole"), i.alias("seq"), x.alias("metric"), none.alias("label"), none.alias("op"), none.alias("value")))
     s = F.transform(f"{result}.selectors", lambda x, i: F.struct(F.lit(False).alias("whole"), i.alias("seq"), x["metric"].alias("metric"), x["label"].alias("label"), x["op"].alias("op"), x["value"].alias("value")))
-    each = ok.select(*here, F.explode(F.concat(m, s)).alias("s")).select(*SOURCE, "s.*")
-    return each.where("whole").select(*SOURCE, "seq", "metric"), each.where("not whole").drop("whole")
+    return _fit(df, result).select(*SOURCE, F.explode(F.concat(m, s)).alias("s")).select(*SOURCE, "s.*")
 
 
 def cut(df: DataFrame, result: str = "r") -> DataFrame:
@@ -37,6 +44,16 @@ def cut(df: DataFrame, result: str = "r") -> DataFrame:
     return tables_of.written(df.select(*SOURCE, result), "references")
 
 
+def asked(df: DataFrame, lang: str, result: str = "r") -> tuple[DataFrame | None, DataFrame]:
+    """References as far as a work list goes by them: distinct, without places, and of a value only whether there is one. One pass over
+    the results leaves them as a table, so that no part of the list parses again."""
+    value = F.when(F.col("value") != "", "*").otherwise("").alias("value")
+    if lang == "logql":
+        return None, tables_of.written(references(df, lang, result)[1].select("label", "op", value).distinct(), "asked")
+    each = tables_of.written(_each(df, result).select("whole", "metric", "label", "op", value).distinct(), "asked")
+    return each.where("whole").select("metric"), each.where("not whole").drop("whole")
+
+
 def work_list(metrics: DataFrame | None, selectors: DataFrame | None, streams: DataFrame | None) -> DataFrame:
     """Distinct (lang, task, metric, label) that a catalog has to be asked for. Labels of metrics that turn out unknown are in it."""
     parts, none = [], F.lit("")

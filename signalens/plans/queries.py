@@ -484,8 +484,8 @@ UNION ALL SELECT DISTINCT 'promql', 'labels', event_type || '_total', '' FROM ev
 UNION ALL SELECT 'logql', 'labels', '', '' FROM events HAVING count(*) > 0 UNION ALL SELECT DISTINCT 'logql', 'values', '', 'app' FROM events""")
 def prewarm_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = [F.lit("").alias(c) for c in ("path", "group", "rule", "panel", "expr")]
-    m, s = checks.references(_promql(spark, sf_dir).select(*none, "r"), "promql")
-    _, st = checks.references(_logql(spark, sf_dir).select(*none, "r"), "logql")
+    m, s = checks.asked(_promql(spark, sf_dir).select(*none, "r"), "promql")
+    _, st = checks.asked(_logql(spark, sf_dir).select(*none, "r"), "logql")
     return checks.work_list(m, s, st)
 
 

@@ -83,8 +83,8 @@ def validate(spark: SparkSession, inputs: Inputs, settings: Settings | None = No
         prom, log = extracted(rules, items, "promql"), extracted(rules, items, "logql")
         tables = settings.catalog
         if isinstance(tables, Catalog):
-            m, s = checks.references(prom, "promql")
-            _, st = checks.references(log, "logql")
+            m, s = checks.asked(prom, "promql")
+            _, st = checks.asked(log, "logql")
             tables = tables.snapshot(spark, checks.work_list(m, s, st))
         if not prom.isEmpty():
             parts += checks.check_promql(prom, tables, settings.allow, skip_variables=settings.skip_dashboard_vars)

@@ -70,3 +70,9 @@ def test_a_query_parses_each_row_once(spark, name):
 
     plan = Q.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_work_list_reads_tables(spark):
+    from signalens.plans import queries as Q
+
+    assert "ArrowEvalPython" not in Q.queries()["prewarm_plan"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
