@@ -281,3 +281,23 @@ def test_telemetry():
     m.is_ready = True
     assert get("/readyz") == "ready\n" and get("/healthz") == "ok\n"
     s.shutdown()
+
+
+@pytest.mark.parametrize("n", [0, 1, 40])
+def test_documents_are_written_by_executors(spark, tmp_path, monkeypatch, n):
+    """The text of a report in memory, without collecting findings: hidden characters, no file, a file called like its stand-in."""
+    from datetime import datetime, timezone
+
+    from signalens.operators import findings as fd
+    from signalens.plans import report
+
+    files, says = ["", "<unknown>", "b&.yaml", "é.yaml", "a.yaml"], ['x "q" \\ <&>', "line\nbreak\ttab", "  ü", "[]"]
+    rows = [(("E001_X", "W401_Y", "I9")[i % 3], ("error", "warning", "info")[i % 3], "lint", (files[i % 5], i % 4, f"g{i % 2}", "r", "p" if i % 7 == 0 else ""), says[i % 4], ["s1", "s2"] if i % 3 == 0 else None, ("m" if i % 2 else "", "", "", "e"), i) for i in range(n)]
+    found, at = spark.createDataFrame(rows, fd.SCHEMA).repartition(5), datetime(2024, 5, 6, tzinfo=timezone.utc)
+    want = {f: report.render(fd.ordered(found), f, n, at) for f in ("json", "junit", "sarif")}
+    monkeypatch.setattr(report, "collected", None)
+    for f, text in want.items():
+        report.write_document(found, f, f"file://{tmp_path}/{f}", n, at)
+        assert (tmp_path / f).read_text(encoding="utf-8", newline="") == text
+    with pytest.raises(ValueError):
+        report.write_document(found, "tsv", f"file://{tmp_path}/tsv")
