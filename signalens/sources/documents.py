@@ -7,7 +7,8 @@ and decoded on the executors. Every table carries the positions it was exploded
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
@@ -84,32 +85,45 @@ def _batch(rows: list[tuple], kinds: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
 
 
-def decoded_rules(files: DataFrame) -> DataFrame:
-    """One row a rule; one with file_error for a file that is unreadable or no rule file; one without a rule for an empty group."""
+#: Rows of decoded files that are handed over at once.
+AT_ONCE = 2000
 
-    kinds = _arrow(RULES)
+
+def _decoder(rows: Callable[..., Iterator[tuple]], kinds: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of batches of files: what rows() gives of each file, in batches of bounded size. A worker holds one file and one such
+    batch beside what came in, however many files that is and whatever is in them."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            rows = []
-            for kind, pos, path, content, error in zip(*[c.to_pylist() for c in rb.columns], strict=True):
-                head = (kind, pos, path)
-                if error is not None:
-                    rows.append((*head, *[None] * 10, f"cannot read file: {error}"))
-                    continue
-                try:
-                    groups = Y.rule_groups(content)
-                except (yaml.YAMLError, Y.ShapeError, ValueError, RecursionError) as e:
-                    rows.append((*head, *[None] * 10, f"rule file YAML invalid: {' '.join(str(e).split())}"))
-                    continue
-                for i, g in enumerate(groups):
-                    for j, r in enumerate(g["rules"]):
-                        rows.append((*head, i, j, g["name"], g["interval"], r["record"], r["alert"], r["expr"], r["for"], list(r["labels"].items()), list(r["annotations"].items()), None))
-                    if not g["rules"]:
-                        rows.append((*head, i, None, g["name"], g["interval"], *[None] * 7))
-            yield _batch(rows, kinds)
+            each = (row for i in range(rb.num_rows) for row in rows(*[c[i].as_py() for c in rb.columns]))
+            while some := list(islice(each, AT_ONCE)):
+                yield _batch(some, kinds)
+
+    return decode
+
+
+def decoded_rules(files: DataFrame) -> DataFrame:
+    """One row a rule; one with file_error for a file that is unreadable or no rule file; one without a rule for an empty group."""
+
+    kinds = _arrow(RULES)
 
-    return files.where("kind in ('promql', 'logql')").select("kind", "file_pos", "path", "content", "read_error").mapInArrow(decode, RULES)
+    def rows(kind, pos, path, content, error) -> Iterator[tuple]:
+        head = (kind, pos, path)
+        if error is not None:
+            yield (*head, *[None] * 10, f"cannot read file: {error}")
+            return
+        try:
+            groups = Y.rule_groups(content)
+        except (yaml.YAMLError, Y.ShapeError, ValueError, RecursionError) as e:
+            yield (*head, *[None] * 10, f"rule file YAML invalid: {' '.join(str(e).split())}")
+            return
+        for i, g in enumerate(groups):
+            for j, r in enumerate(g["rules"]):
+                yield (*head, i, j, g["name"], g["interval"], r["record"], r["alert"], r["expr"], r["for"], list(r["labels"].items()), list(r["annotations"].items()), None)
+            if not g["rules"]:
+                yield (*head, i, None, g["name"], g["interval"], *[None] * 7)
+
+    return files.where("kind in ('promql', 'logql')").select("kind", "file_pos", "path", "content", "read_error").mapInArrow(_decoder(rows, kinds), RULES)
 
 
 def rule_table(files: DataFrame) -> DataFrame:
@@ -124,30 +138,28 @@ def decoded_dashboards(files: DataFrame) -> DataFrame:
 
     kinds = _arrow(ITEMS)
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            rows = []
-            for pos, path, content, error in zip(*[c.to_pylist() for c in rb.columns], strict=True):
-                head = (pos, path)
-                try:
-                    if error is not None:
-                        raise OSError(f"cannot read file: {error}")
-                    d = D.decode(content)
-                except OSError as e:
-                    rows.append((*head, None, None, "unreadable", *[None] * 9, str(e)))
-                    continue
-                except D.DashboardError as e:
-                    rows.append((*head, None, None, "invalid", *[None] * 9, f"dashboard JSON invalid: {e}"))
-                    continue
-                head = (*head, d["title"], d["uid"])
-                for i, p in enumerate(d["panels"]):
-                    panel = (i, p["id"], p["title"], p["type"])
-                    rows.append((*head, "panel", *panel, None, None, None, p["datasource"], None, None))
-                    rows += [(*head, "target", *panel, j, t["ref_id"], None, t["datasource"], t["expr"], None) for j, t in enumerate(p["targets"])]
-                rows += [(*head, "variable", None, None, None, None, j, None, v["name"], v["datasource"], v["query"], None) for j, v in enumerate(d["variables"])]
-            yield _batch(rows, kinds)
-
-    return files.where("kind = 'dashboard'").select("file_pos", "path", "content", "read_error").mapInArrow(decode, ITEMS)
+    def rows(pos, path, content, error) -> Iterator[tuple]:
+        head = (pos, path)
+        try:
+            if error is not None:
+                raise OSError(f"cannot read file: {error}")
+            d = D.decode(content)
+        except OSError as e:
+            yield (*head, None, None, "unreadable", *[None] * 9, str(e))
+            return
+        except D.DashboardError as e:
+            yield (*head, None, None, "invalid", *[None] * 9, f"dashboard JSON invalid: {e}")
+            return
+        head = (*head, d["title"], d["uid"])
+        for i, p in enumerate(d["panels"]):
+            panel = (i, p["id"], p["title"], p["type"])
+            yield (*head, "panel", *panel, None, None, None, p["datasource"], None, None)
+            for j, t in enumerate(p["targets"]):
+                yield (*head, "target", *panel, j, t["ref_id"], None, t["datasource"], t["expr"], None)
+        for j, v in enumerate(d["variables"]):
+            yield (*head, "variable", None, None, None, None, j, None, v["name"], v["datasource"], v["query"], None)
+
+    return files.where("kind = 'dashboard'").select("file_pos", "path", "content", "read_error").mapInArrow(_decoder(rows, kinds), ITEMS)
 
 
 def dashboard_table(files: DataFrame) -> DataFrame:

@@ -94,3 +94,24 @@ def test_scan(spark, tmp_path):
     assert rules[1].prom.error.startswith("parse: ") and rules[1]["for"] == "5"
     items = docs.dashboard_table(files).where("item <> 'panel'").orderBy("item", "panel_pos").collect()
     assert [(i.panel, i.lang, i.prom and i.prom.metricRefs, i.variables) for i in items] == [("in/A", "logql", None, ["b"]), ("id=2/A", "promql", ["up"], []), ("id=3/A", "promql", ["m"], ["y"]), ("var=v", "promql", ["up"], [])]
+
+
+def test_decoded_rows_come_in_bounded_batches(monkeypatch):
+    """However many rules the files of a batch have, a worker holds a file and AT_ONCE rows; none is lost, nor their order."""
+    import pyarrow as pa
+
+    from signalens.sources import documents as docs
+
+    asked = []
+
+    def rows(path, n):
+        asked.append(path)
+        return ((path, i) for i in range(n))
+
+    files = pa.RecordBatch.from_pydict({"path": ["a", "b", "c", "d"], "n": [5000, 0, 1, 2500]})
+    out = docs._decoder(rows, docs._arrow("path string, i int"))(iter([files, files.slice(0, 0)]))
+    first = next(out)
+    assert first.num_rows == docs.AT_ONCE and asked == ["a"]
+    got = [first, *out]
+    assert max(b.num_rows for b in got) <= docs.AT_ONCE
+    assert [tuple(r.values()) for b in got for r in b.to_pylist()] == [(p, i) for p, n in (("a", 5000), ("c", 1), ("d", 2500)) for i in range(n)]
