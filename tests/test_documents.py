@@ -1,3 +1,4 @@
+import gc
 import json
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from signalens.functions import rules as R
 from signalens.functions.wrappers import split_call, unwrap
+from signalens.lang.lexing import duration_ms
 from signalens.sources import dashboards as D
 from signalens.sources import documents as docs
 from signalens.sources import yaml_docs as Y
@@ -32,6 +34,40 @@ def test_rule_groups():
     assert Y.rule_groups("x: &b {severity: p}\ngroups: [{name: g, rules: [{alert: a, labels: {<<: *b, k: v}}]}]")[0]["rules"][0]["labels"] == {"severity": "p", "k": "v"}
 
 
+def test_decoding_is_not_searched_for_garbage():
+    """The search took longer the larger a file was."""
+    text = "groups:\n" + "".join(f"- name: g{i}\n  rules:\n" + f"  - {{alert: a, labels: {{n: null, t: true, k: {i}}}}}\n" * 50 for i in range(60))
+    seen = []
+    gc.collect()
+    gc.callbacks.append(lambda phase, info: seen.append(phase))
+    try:
+        groups = Y.load(text)["groups"]
+        board = D.decode(json.dumps({"panels": [{"title": "t", "id": i, "targets": []} for i in range(20)]}))
+    finally:
+        gc.callbacks.pop()
+    assert len(groups) == 60 and groups[7]["rules"][49] == {"alert": "a", "labels": {"n": "", "t": "true", "k": "7"}} and len(board["panels"]) == 20
+    assert len(seen) <= 2 and gc.isenabled()
+    with pytest.raises(yaml.YAMLError):
+        Y.load("groups: [")
+    assert gc.isenabled()
+
+
+def test_loader_resolves_as_yaml_does():
+    base = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+    for v in ("", "~", "null", "Null", "NULL", "nULL", "<<", "=", "no", "1", "1.5", "2001-01-01", "'null'", '"~"', "!!str null", "!!null x", "! ~", "n", "<", "N"):
+        ours, theirs = (yaml.compose(f"k: {v}", Loader=x).value[0][1] for x in (Y._Loader, base))
+        assert ours.value == theirs.value and all((ours.tag == t) == (theirs.tag == t) for t in Y._TAGS), v
+
+
+def test_durations_do_not_cast_in_vain(spark):
+    """A try_cast of a text that is no number throws within: units that are not given did, twelve times a rule."""
+    given = ["12m", "1h30m", "0", "", "5", "1m1h", "1y2w3d4h5m6s7ms", "007s", "99999999999999999999s", None]
+    df = spark.createDataFrame([(x,) for x in given], "d string").select("d", R.duration_ms(F.col("d")).alias("ms"))
+    want = {x: 0 if x and x.startswith("999") else duration_ms(x) if x is not None else None for x in given}
+    assert {r.d: r.ms for r in df.collect()} == want
+    assert "try_cast(regexp_extract" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("text", ["groups: {a: b}", "groups: [{name: [1]}]", "groups: [{rules: [{labels: [x]}]}]", "a: 1\na: 2", "groups: [", "- a"])
 def test_bad_rule_files(text):
     with pytest.raises((Y.ShapeError, yaml.YAMLError)):
