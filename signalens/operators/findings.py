@@ -32,7 +32,7 @@ def make(df: DataFrame, code: str | Column, category: str, message: Column, *, s
 
 
 def none(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], SCHEMA)
+    return tables.local(spark, [], SCHEMA)
 
 
 def union(spark: SparkSession, parts: list[DataFrame]) -> DataFrame:

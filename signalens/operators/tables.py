@@ -9,8 +9,11 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 _made: set[str] = set()
 _open: list[list[tuple[SparkSession, str]]] = []
@@ -51,6 +54,13 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Few rows as a relation of known size. A list given to Spark goes through Python workers of its own, whenever it is read."""
+    kinds = to_arrow_schema(T.StructType.fromDDL(schema))
+    columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds), schema)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """df as a table in the shared folder: later reads survive lost executors and don't recompute it."""
     path = new_path(df.sparkSession, what)

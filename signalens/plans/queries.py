@@ -19,7 +19,7 @@ from signalens.functions.wrappers import unwrap_variable_query
 from signalens.operators import checks, lint, suggest
 from signalens.operators import findings as fd
 from signalens.plans import report
-from signalens.operators.tables import new_path, written
+from signalens.operators.tables import local, new_path, written
 from signalens.plans.validate import Inputs, Settings, extracted, parse_findings, validate
 from signalens.sources import allowlist, yaml_docs
 from signalens.sources import catalog as cat_source
@@ -397,7 +397,7 @@ def _catalog(spark: SparkSession, sf_dir: str) -> Tables:
     known = e.where("event_type in ('click', 'purchase', 'view')")
     labels = known.select("metric").distinct().withColumn("label", F.lit("user"))
     values = known.where("event_type = 'purchase' or length(user) < 4").select("metric", F.lit("user").alias("label"), F.col("user").alias("value")).distinct()
-    streams = spark.createDataFrame([("app",), ("user",)], "label string")
+    streams = local(spark, [("app",), ("user",)], "label string")
     return Tables(known.select("metric").distinct(), labels, values, streams, known.select(F.lit("app").alias("label"), F.col("event_type").alias("value")).distinct())
 
 
@@ -603,8 +603,8 @@ def validate_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = _rules(spark, sf_dir).unionByName(_rules(spark, sf_dir, "logql"))
     rules, items = written(rules.withColumn("path", F.when(F.col("kind") == "logql", F.concat(F.lit("logs/"), "path")).otherwise(F.col("path"))), "rules"), written(_items(spark, sf_dir), "items")
     tables = Tables(
-        spark.createDataFrame([("part_total",)], "metric string"), spark.createDataFrame([("part_total", "brand")], "metric string, label string"), spark.createDataFrame([("part_total", "brand", "x")], "metric string, label string, value string"),
-        spark.createDataFrame([("app",)], "label string"), spark.createDataFrame([("app", "api")], "label string, value string"),
+        local(spark, [("part_total",)], "metric string"), local(spark, [("part_total", "brand")], "metric string, label string"), local(spark, [("part_total", "brand", "x")], "metric string, label string, value string"),
+        local(spark, [("app",)], "label string"), local(spark, [("app", "api")], "label string, value string"),
     )
     parts = parse_findings(rules, items) + lint.lint(rules) + checks.check_promql(extracted(rules, items, "promql"), tables, Allowlist()) + checks.check_logql(extracted(rules, items, "logql"), tables, Allowlist())
     return fd.union(spark, parts).select("code", "severity", "category", "source.file", "source.group", "source.rule", "source.panel", "message")

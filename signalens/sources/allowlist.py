@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from signalens.operators.tables import local
 from signalens.sources import yaml_docs as Y
 
 
@@ -32,9 +33,9 @@ class Allowlist:
     def tables(self, spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
         self.check()
         return (
-            spark.createDataFrame(self.metrics, "metric_pat string, reason string"),
-            spark.createDataFrame(self.labels, "metric_pat string, label_pat string, reason string"),
-            spark.createDataFrame(self.values, "metric_pat string, label_pat string, value_pat string, reason string"),
+            local(spark, self.metrics, "metric_pat string, reason string"),
+            local(spark, self.labels, "metric_pat string, label_pat string, reason string"),
+            local(spark, self.values, "metric_pat string, label_pat string, value_pat string, reason string"),
         )
 
 

@@ -76,3 +76,20 @@ def test_work_list_reads_tables(spark):
     from signalens.plans import queries as Q
 
     assert "ArrowEvalPython" not in Q.queries()["prewarm_plan"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["check_value_unknown", "allowlist_filter", "check_stream_label_unknown"])
+def test_checks_of_few_names_need_no_workers(spark, name):
+    """Small tables are relations of known size; as lists of rows, each was read by Python workers beside those of the parser."""
+    from signalens.plans import queries as Q
+
+    assert "ExistingRDD" not in Q.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_local_rows(spark):
+    from signalens.operators import tables
+
+    rows = [("a", None, ["x"]), ("é", 2, [])]
+    df = tables.local(spark, rows, "s string, n long, l array<string>")
+    assert [tuple(r) for r in df.collect()] == rows and df.schema == spark.createDataFrame(rows, "s string, n long, l array<string>").schema
+    assert tables.local(spark, [], "s string, t struct<a:int>").collect() == []
